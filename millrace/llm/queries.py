@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, mixing, rules, simhash, tokens
+from millrace.llm import chat, decontam, mixing, quality, repeats, rules, simhash, tokens
 from millrace.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op5_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -35,6 +40,14 @@ def op6_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.crc32(c.cast("string")) % 5 == 0
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    rows = quality.score(docs, model)
+    return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -53,4 +66,4 @@ def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_rake_mixture, op2_rule_ledger, op3_pfor_tokens, op6_winnow_decontam, op9_simhash_variants, op10_typed_chat)}
+QUERIES = {f.__name__: f for f in (op1_rake_mixture, op2_rule_ledger, op3_pfor_tokens, op5_repeat_tree, op6_winnow_decontam, op8_nbsvm_quality, op9_simhash_variants, op10_typed_chat)}
