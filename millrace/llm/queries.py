@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, mixing, quality, repeats, rules, simhash, tokens
+from millrace.llm import chat, decontam, linedup, mixing, pseudonym, quality, repeats, rules, simhash, tokens
 from millrace.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.by_document(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -40,6 +44,11 @@ def op6_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonym.pseudonymize(table(spark, sf_dir, "documents"), "corpus-2026-11")
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.crc32(c.cast("string")) % 5 == 0
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -66,4 +75,4 @@ def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_rake_mixture, op2_rule_ledger, op3_pfor_tokens, op5_repeat_tree, op6_winnow_decontam, op8_nbsvm_quality, op9_simhash_variants, op10_typed_chat)}
+QUERIES = {f.__name__: f for f in (op1_rake_mixture, op2_rule_ledger, op3_pfor_tokens, op4_line_edit_join, op5_repeat_tree, op6_winnow_decontam, op7_feistel_pseudonyms, op8_nbsvm_quality, op9_simhash_variants, op10_typed_chat)}
