@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.windows import seconds
+
 LONG_MAX = 2**63 - 1
 
 
@@ -52,7 +54,7 @@ def shape_census(events: DataFrame, run: str, order: Sequence[str], kind: str) -
 
 def buckets(df: DataFrame, ts: str, width_seconds: int) -> DataFrame:
     """df with ``bucket``: the epoch second at which its span of that width begins, rounded down before 1970 too."""
-    return df.withColumn("bucket", F.floor(F.unix_seconds(F.col(ts)) / width_seconds) * width_seconds)
+    return df.withColumn("bucket", F.floor(seconds(F.col(ts)) / width_seconds) * width_seconds)
 
 
 def herd(df: DataFrame, ts: str, who: str, width_seconds: int, least: int) -> DataFrame:

@@ -64,7 +64,7 @@ def run_tree(runs: DataFrame, roots: DataFrame, id_col: str, parent: str, max_de
     runs.select(F.col(id_col).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView("_tree_runs")
     roots.select(F.col(id_col).alias("id")).createOrReplaceTempView("_tree_roots")
     return spark.sql(f"""
-        with recursive walk max recursion level {max_depth + 1} (root, id, depth) as (
+        with recursive walk (root, id, depth) max recursion level {max_depth + 2} as (
           select id, id, 0 from _tree_roots
           union all
           select w.root, r.id, w.depth + 1 from walk w join _tree_runs r on r.parent = w.id where w.depth < {int(max_depth)} and r.id <> w.id

@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(c: Column) -> Column:
+    """Microseconds since the epoch of a time with or without a zone (then taken in the session's)."""
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def seconds(c: Column) -> Column:
+    return F.unix_seconds(c.cast("timestamp"))
+
+
 def sweep(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """(keys, t, running): how many intervals are open after each edge; an end comes before a start at the same time.
 
@@ -41,7 +50,7 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Co
 def debounce(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], gap_seconds: int) -> DataFrame:
     """(keys, island, first, fire, n, last row's order): bursts closed by a quiet gap; fires a gap after the last event."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    far = F.coalesce(F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) >= gap_seconds * 1_000_000, F.lit(True))
+    far = F.coalesce(micros(F.col(ts)) - micros(F.lag(ts).over(w)) >= gap_seconds * 1_000_000, F.lit(True))
     marked = islands(df.withColumn("_far", far), keys, order, F.col("_far"))
     return marked.groupBy(*keys, "island").agg(F.min(ts).alias("first"), (F.max(ts) + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("fire"), F.count("*").alias("n"), F.max_by(order[-1], F.struct(*order)).alias("last"))
 
