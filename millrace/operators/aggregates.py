@@ -27,7 +27,8 @@ def top_n_other(counts: DataFrame, key: str, n: int, count: str = "n", other: st
 
 def saturating_sum(c: Column) -> Column:
     """A sum that stays at the largest long instead of overflowing; 0 for no rows."""
-    return F.coalesce(F.least(F.sum(c.cast("decimal(38,0)")), F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long"), F.lit(0))
+    total = F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return F.least(total, F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
 
 
 def money(c: Column) -> Column:

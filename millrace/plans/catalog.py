@@ -32,7 +32,9 @@ def query(sql: str):
     return add
 
 
-K = F.get_json_object("props", "$.k")
+def event_k():
+    return F.get_json_object("props", "$.k")
+
 
 # Counts, filters, pages
 
@@ -60,7 +62,7 @@ select event_id, user_id, event_type, cast(props->>'$.k' as bigint) as k from ev
 where cast(props->>'$.k' as bigint) >= 40 and (event_type = 'error' or cast(props->>'$.k' as bigint) in (41, 77)) and not value < 2""")
 def filter_attributes(t):
     rows = t.events.where(P.all_of(P.attribute("props", "k", "gte", 40), P.any_of(F.col("event_type") == "error", P.attribute("props", "k", "in", [41, 77])), ~(F.col("value") < 2)))
-    return rows.select("event_id", "user_id", "event_type", K.cast("long").alias("k"))
+    return rows.select("event_id", "user_id", "event_type", event_k().cast("long").alias("k"))
 
 
 @query("""
@@ -147,7 +149,7 @@ select event_type, version, count(*) filter (where c_acctbal >= 0) as active, co
   min(user_id) as first_run, max(user_id) as last_run
 from m join customer on user_id = c_custkey group by 1, 2""")
 def version_usage(t):
-    marks = t.events.select("user_id", "event_type", P.guarded_int(K).alias("version")).where("version is not null").dropDuplicates()
+    marks = t.events.select("user_id", "event_type", P.guarded_int(event_k()).alias("version")).where("version is not null").dropDuplicates()
     runs = t.customer.select(F.col("c_custkey").alias("user_id"), "c_acctbal")
     return marks.join(runs, "user_id").groupBy("event_type", "version").agg(F.count_if(F.col("c_acctbal") >= 0).alias("active"), F.count_if(F.col("c_acctbal") < 0).alias("terminal"), F.min("user_id").alias("first_run"), F.max("user_id").alias("last_run"))
 
@@ -629,7 +631,7 @@ with d as (select distinct user_id, cast(props->>'$.k' as bigint) as seq from ev
 r as (select *, row_number() over (partition by user_id order by seq) - 1 as rn from d)
 select user_id, count(*) as received, count(*) filter (where seq = rn) as contiguous, count(*) filter (where seq <> rn) as above from r group by 1""")
 def dedupe_out_of_order(t):
-    seen = t.events.select("user_id", K.cast("long").alias("seq")).dropDuplicates()
+    seen = t.events.select("user_id", event_k().cast("long").alias("seq")).dropDuplicates()
     ranked = seen.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("seq")) - 1)
     return ranked.groupBy("user_id").agg(F.count("*").alias("received"), F.count_if(F.col("seq") == F.col("rn")).alias("contiguous"), F.count_if(F.col("seq") != F.col("rn")).alias("above"))
 
@@ -711,7 +713,7 @@ y as (select event_type, event_id, case when w > 0 then power(u, 1.0 / w) else -
 select event_type, event_id from y qualify row_number() over (partition by event_type order by key desc, event_id) <= 10""")
 def weighted_order(t):
     u = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    keyed = t.events.select("event_type", "event_id", forecast.fair_key(K.cast("double"), u).alias("key"))
+    keyed = t.events.select("event_type", "event_id", forecast.fair_key(event_k().cast("double"), u).alias("key"))
     return J.top_k(keyed, ["event_type"], [F.desc("key"), F.asc("event_id")], 10).select("event_type", "event_id")
 
 
