@@ -1,3 +1,80 @@
-"""SQL for DuckDB of the queries that SQL can express."""
+"""SQL for DuckDB of the queries that SQL can express. Token ids, fingerprints and fitted models are beyond it; byte
+strings, edit links and keyed permutations are held against brute force in the tests."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from millrace.llm import mixing
+
+SPACE = r"[\x20\x09-\x0D]"
+WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '')"
+
+OP2 = f"""
+with d as (select doc_id, coalesce(text, '') as text, {WORDS} as ws from documents),
+l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+w as (select doc_id, i, list_slice(ws, i, i + 7) as win from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from d)),
+r as (select doc_id, i, count(*) over (partition by doc_id, win) as n from w),
+c as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as p from r where n > 1) group by 1),
+m as (select d.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+  cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, cast(len(ls) as bigint) as n_lines, cast(len(regexp_extract_all(text, '!')) as bigint) as n_shouts
+  from d join l using (doc_id) left join c using (doc_id)),
+b as (select *, n_words < 20 as f0, 100 * n_repeat_words > 30 * n_words as f1, 5 * n_symbols > n_words as f2, 2 * n_dup_lines > n_lines as f3,
+  word_chars < 2 * n_words or word_chars > 20 * n_words as f4, 5 * n_shouts > n_words as f5 from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_shouts, f0 or f1 as base_failed,
+ not (f0 or f1 or f2 or f3 or f4 or f5) as kept,
+ cast(f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int + 32 * f5::int as bigint) as failed_bits from b"""
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = f"list_filter(string_split_regex({FOLDED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP6 = f"""
+with d as (select doc_id, {TERMS} as ws from documents),
+b as (select item_id, {TERMS} as ws from benchmark),
+iw as (select distinct item_id, list_slice(ws, i, i + 9) as win from (select item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) as i from b where len(ws) > 0)),
+ls as (select distinct len(win) as n from iw),
+dw as (select doc_id, i, n, list_slice(ws, i, i + n - 1) as win from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, ls)),
+h as (select doc_id, item_id, i, n from dw join iw using (win)),
+p as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(i, i + n)) as x from h) group by 1),
+s as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 as contaminated from d left join p using (doc_id) left join s using (doc_id)"""
+
+ESCAPED = r"replace(replace({}, '\', '\s'), '<|', '\l|')"
+
+OP10 = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as lost,
+  cast(sum(length('<|turn|><|says|><|end|>') + length({ESCAPED.format("role")}) + length({ESCAPED.format("text")})) as bigint) as formatted_chars from c group by 1)
+select conv_id, n_turns, turns_sha256, cast(length(lost) as bigint) as loss_chars, sha256(lost) as loss_sha256, formatted_chars from g"""
+
+
+def rake_sql(rounds: int = mixing.ROUNDS, smoothing: float = mixing.SMOOTHING, keep: float = mixing.KEEP) -> str:
+    """The fits written out one after the other."""
+    steps = []
+    for i in range(rounds):
+        for j, dim in enumerate(("source", "lang", "topic")):
+            last = f"w{i * 3 + j}" if i + j else "w0"
+            steps.append(f"w{i * 3 + j + 1} as materialized (select * replace (w * coalesce(g_{dim} / nullif(sum(w) over (partition by {dim}), 0), 0) as w) from {last})")
+    shares = ", ".join(f"power(sum(tokens) over (partition by {d}) / total, {smoothing}) as r_{d}" for d in ("source", "lang", "topic"))
+    goals = ", ".join(f"r_{d} / (select sum(r) from (select distinct {d}, r_{d} as r from shares)) as g_{d}" for d in ("source", "lang", "topic"))
+    return f"""
+with t as (select doc_id, source, lang, case when text like '% | %' then 'table' when text like '%@%' then 'contact' when text like '%"%' then 'quoted'
+  when regexp_matches(text, '[0-9]{{3}}') then 'numbers' else 'prose' end as topic, cast(len({WORDS}) as bigint) as n_tokens from documents),
+cells as materialized (select source, lang, topic, cast(sum(n_tokens) as double) as tokens from t group by 1, 2, 3),
+totals as (select *, sum(tokens) over () as total from cells),
+shares as materialized (select *, {shares} from totals),
+w0 as materialized (select *, {goals}, tokens / total as w from shares),
+{", ".join(steps)},
+f as materialized (select *, case when tokens > 0 then w / (tokens / total) else 0 end as weight from w{rounds * 3}),
+o as (select *, coalesce(sum(tokens) over (order by weight desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as filled,
+  sum(tokens * weight) over (order by weight desc, source, lang, topic rows between current row and unbounded following) as rest from f),
+s as (select arg_max((({keep} * total - filled) / rest), weight) filter (where (({keep} * total - filled) / rest) * weight <= 1) as first_scale from o where rest > 0),
+p as (select source, lang, topic, weight, case when tokens = 0 then 1.0 else least(1.0, weight * first_scale) end as probability from f, s)
+select doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 6) as weight, round(probability, 6) as probability,
+ cast('0x' || substr(md5('mix:' || doc_id), 1, 13) as bigint) / 4503599627370496.0 < probability as kept
+from t join p on t.source is not distinct from p.source and t.lang is not distinct from p.lang and t.topic = p.topic"""
+
+
+SQL: dict[str, str] = {"op1_rake_mixture": rake_sql(), "op2_rule_ledger": OP2, "op6_winnow_decontam": OP6, "op10_typed_chat": OP10}
