@@ -89,7 +89,7 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= distance
+            near = np.bitwise_count((rest ^ x).view(np.uint64)) <= distance  # of signed numbers it would count the absolute value's
             found = rest[near]
             if len(found):
                 a.append(np.full(len(found), x, dtype=np.int64))
