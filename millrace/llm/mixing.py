@@ -123,7 +123,8 @@ def cell_probabilities(cells: DataFrame, dims: list[str], targets: dict | None =
         held["probability"] = np.where(held["tokens"] == 0, 1.0, np.minimum(1.0, np.where(held["weight"] > 0, held["weight"] * scale, 0.0)))
     schema = written.schema.add("weight", "double").add("probability", "double")
     rows = held.astype(object).where(held.notna(), None).values.tolist()
-    return spark.createDataFrame([tuple(int(v) if i == len(dims) else v for i, v in enumerate(r)) for r in rows], schema)
+    # max_cells bounds this table's size, so that documents need not be dealt out to meet it.
+    return F.broadcast(spark.createDataFrame([tuple(int(v) if i == len(dims) else v for i, v in enumerate(r)) for r in rows], schema))
 
 
 def draw(id_col: Column, seed: str = "mix") -> Column:
