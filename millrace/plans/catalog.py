@@ -6,9 +6,7 @@ suppliers for workers and conversations for transcripts. Every query reads whole
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import forecast, text
@@ -17,24 +15,9 @@ from millrace.operators import filters as P
 from millrace.operators import graph as G
 from millrace.operators import joins as J
 from millrace.operators import windows as W
-from millrace.sources.tables import Tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def event_k():
-    return F.get_json_object("props", "$.k")
+from millrace.plans.registry import QUERIES, SQL, event_k, query
 
+__all__ = ["QUERIES", "SQL"]
 
 # Counts, filters, pages
 
@@ -733,3 +716,6 @@ def dag_slack(t):
     edges = tasks.where("task > 1").select("dag", "task", F.floor(F.col("task") / 2).cast("int").alias("upstream"))
     known = edges.join(tasks.select("dag", F.col("task").alias("upstream")), ["dag", "upstream"], "left_semi")
     return G.slack(tasks, known, 3).select("dag", "task", "duration", "early_start", "slack", "makespan")
+
+
+from millrace.plans import histories  # noqa: E402, F401  registers its queries

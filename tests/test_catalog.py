@@ -4,7 +4,7 @@ from millrace.plans import catalog
 from tests.compare import connect, rows
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_same_rows_as_duckdb(spark, data, name):
     ours = catalog.QUERIES[name](spark, data).toPandas()
     theirs = connect(data).sql(catalog.SQL[name]).df()
@@ -18,3 +18,12 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_shape_fingerprints(spark, data):
+    from millrace.functions.fingerprint import FNV_OFFSET, fnv1a
+
+    assert fnv1a(b"") == FNV_OFFSET and fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    got = catalog.QUERIES["shape_fingerprints"](spark, data).collect()
+    assert len(got) == spark.read.parquet(f"{data}/orders.parquet").select("o_custkey").distinct().count()
+    assert all(int(r.fingerprint, 16) == fnv1a("".join(n + "\0" for n in r["shape"].split(">")).encode()) for r in got)
