@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def longest_paths(tasks: DataFrame, edges: DataFrame, start: str, end: str, max_edges: int) -> DataFrame:
+    """(dag, task, at): the longest way along edges to each task, summed over the durations of the tasks before it.
+
+    The frontier after k edges follows from the one after k - 1 by one join and one grouped maximum over all graphs.
+    """
+    weighted = edges.join(tasks.select("dag", F.col("task").alias(start), "duration"), ["dag", start]).select("dag", F.col(start).alias("_from"), F.col(end).alias("_to"), "duration")
+    frontier = tasks.select("dag", "task", F.lit(0).cast("long").alias("at"))
+    found = frontier
+    for _ in range(max_edges):
+        onward = weighted.join(frontier.withColumnRenamed("task", "_from"), ["dag", "_from"])
+        frontier = onward.groupBy("dag", F.col("_to").alias("task")).agg(F.max(F.col("at") + F.col("duration")).alias("at"))
+        found = found.union(frontier)
+    return found.groupBy("dag", "task").agg(F.max("at").alias("at"))
+
+
 def slack(tasks: DataFrame, edges: DataFrame, max_levels: int) -> DataFrame:
     """(dag, task, duration, early_start, early_finish, late_start, late_finish, slack, makespan) for every graph at once.
 
-    ``tasks`` (dag, task, duration), ``edges`` (dag, task, upstream). Each level is one join and one grouped maximum (then
-    minimum) over all graphs; ``max_levels`` bounds the longest path. Tasks deeper than that keep the bound's result.
+    ``tasks`` (dag, task, duration), ``edges`` (dag, task, upstream); ``max_levels`` bounds the edges of the longest path.
     """
-    state = tasks.select("dag", "task", "duration", F.lit(0).cast("long").alias("early_start"))
-    for _ in range(max_levels):
-        ends = state.select("dag", F.col("task").alias("upstream"), (F.col("early_start") + F.col("duration")).alias("end"))
-        ready = edges.join(ends, ["dag", "upstream"]).groupBy("dag", "task").agg(F.max("end").alias("ready"))
-        state = state.join(ready, ["dag", "task"], "left").select("dag", "task", "duration", F.coalesce("ready", F.lit(0).cast("long")).alias("early_start"))
-    state = state.withColumn("early_finish", F.col("early_start") + F.col("duration"))
-    spans = state.groupBy("dag").agg(F.max("early_finish").alias("makespan"))
-    late = state.join(spans, "dag").withColumn("late_finish", F.col("makespan"))
-    for _ in range(max_levels):
-        starts = late.select("dag", "task", (F.col("late_finish") - F.col("duration")).alias("start"))
-        bound = edges.join(starts, ["dag", "task"]).groupBy("dag", F.col("upstream").alias("task")).agg(F.min("start").alias("bound"))
-        late = late.join(bound, ["dag", "task"], "left").withColumn("late_finish", F.coalesce("bound", "makespan")).drop("bound")
+    edges = edges.withColumnRenamed("task", "downstream")
+    ahead = longest_paths(tasks, edges, "upstream", "downstream", max_levels).withColumnRenamed("at", "early_start")
+    behind = longest_paths(tasks, edges, "downstream", "upstream", max_levels).withColumnRenamed("at", "tail")
+    both = tasks.join(ahead, ["dag", "task"]).join(behind, ["dag", "task"]).withColumn("early_finish", F.col("early_start") + F.col("duration"))
+    spans = both.groupBy("dag").agg(F.max("early_finish").alias("makespan"))
+    late = both.join(spans, "dag").withColumn("late_finish", F.col("makespan") - F.col("tail"))
     late = late.withColumn("late_start", F.col("late_finish") - F.col("duration")).withColumn("slack", F.col("late_start") - F.col("early_start"))
     return late.select("dag", "task", "duration", "early_start", "early_finish", "late_start", "late_finish", "slack", "makespan")
