@@ -10,6 +10,7 @@ threshold. Equal lines are one entry.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import is_empty, map_arrow, materialize, small
 from millrace.llm.components import connected_components
+from millrace.llm.hashing import hashes_of, sums_of
 
 THRESHOLD = 2
 #: Shorter lines are only joined with equal ones.
 LEAST_CHARS = 16
 #: Lines under one key up to which all are compared; beyond that the key is split by parts of the sketch.
 CROWD = 4096
+#: Lines that met another up to which their list is broadcast to fetch the texts; beyond that the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Characters of lines worked on at a time, and names of lines remembered as given out.
+CHUNK_CHARS, MEMO = 500_000, 100_000
 SKETCH_BITS, PARTS = 60, 10
 INDEX, PROBE = 1, 2
 _ROLE = np.uint64(SKETCH_BITS)
@@ -94,10 +99,20 @@ def edits(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
+@lru_cache(maxsize=10_000)
+def _plan(n: int, threshold: int) -> np.ndarray:
+    """Columns (salt of segment and indexed length, start, length, role) of a line's places."""
+    return np.array([(m << 8 | i, at, length, role) for i, m, at, length, role in places(n, threshold)], dtype=np.int64).T
+
+
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lines, one after the other, and where each ends."""
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4"), np.cumsum([len(x) for x in lines])
+
+
+def sketches(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """SKETCH_BITS parities of hashed character pairs for each line of two characters or more."""
-    flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    ends = np.cumsum([len(x) for x in lines])
+    flat = codes.astype(np.uint64)
     pair = (flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
     bit = np.uint64(1) << ((pair >> np.uint64(40)) % np.uint64(SKETCH_BITS))
     bit[ends[:-1] - 1] = 0  # a pair over a line's end
@@ -107,11 +122,22 @@ def sketches(lines: list[str]) -> np.ndarray:
 def _keys(threshold: int, least: int):
     """(key, line, sketch) rows of a batch's different lines; the role stands above the sketch's bits."""
 
+    def keyed(lines: list[str], names: list[int]) -> pa.RecordBatch:
+        plans = [_plan(len(x), threshold) for x in lines]
+        rows = [p.shape[1] for p in plans]
+        salt, at, length, role = np.concatenate(plans, axis=1)
+        flat, ends = _codes(lines)
+        starts = np.repeat(np.concatenate([[0], ends[:-1]]), rows) + at
+        keys = hashes_of(sums_of(flat), starts, length, salt.astype(np.uint64))
+        sketch = np.repeat(sketches(flat, ends), rows) | role.astype(np.uint64) << _ROLE
+        line_of = np.repeat(np.array(names, dtype=np.uint64), rows)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, line_of, sketch)], names=["key", "line", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What was lately given out is not given out again; a line that still comes twice is one line under its keys.
         seen: set[int] = set()
-        plan: dict[int, list] = {}
+        lines, names, held = [], [], 0
         for batch in batches:
-            lines, names = [], []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) >= least and line.strip(" \t\n\v\f\r"):
@@ -120,22 +146,14 @@ def _keys(threshold: int, least: int):
                             seen.add(name)
                             lines.append(line)
                             names.append(name)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if not lines:
-                continue
-            keys, owners, roles = [], [], []
-            for k, line in enumerate(lines):
-                n, raw = len(line), line.encode("utf-32-le", "surrogatepass")
-                if n not in plan:
-                    plan[n] = places(n, threshold)
-                for i, m, at, length, role in plan[n]:
-                    keys.append(xxhash.xxh3_64_intdigest(raw[4 * at : 4 * (at + length)], m << 8 | i))
-                    roles.append(role)
-                owners.append(len(plan[n]))
-            sketch = np.repeat(sketches(lines), owners) | np.array(roles, dtype=np.uint64) << _ROLE
-            line_of = np.repeat(np.array(names, dtype=np.uint64), owners)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(line_of.view(np.int64)), pa.array(sketch.view(np.int64))], names=["key", "line", "sketch"])
+                            held += len(line)
+                    if held >= CHUNK_CHARS:
+                        yield keyed(lines, names)
+                        lines, names, held = [], [], 0
+                if len(seen) > MEMO:
+                    seen.clear()
+        if lines:
+            yield keyed(lines, names)
 
     return run
 
@@ -255,9 +273,9 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
-    """(id, row, no, n_links, class_id, class_no, first) for each line with a word.
+    """(id, row, no, n_links, class_id, class_no, class_row, first) for each line with a word.
 
-    A class is what is reachable over links; it is named by its first line, of the smallest id and number. ``first`` is
+    A class is what is reachable over links; it is named by its first line, of the smallest id, number and text hash. ``first`` is
     true for that line alone, so keeping such lines removes near-duplicates. ``n_links`` counts the different lines that
     the line is linked to; equal lines have equal links. Rows that repeat a document repeat its lines.
     """
@@ -272,7 +290,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = materialize(known.groupBy("root").agg(F.min("at").alias("first")))
     known = materialize(known.join(names, "root").select("name", "n_links", "first"))
     own = F.struct("id", "no", "row")
-    return found.join(known, "name").select("id", "row", "no", "n_links", F.col("first.id").alias("class_id"), F.col("first.no").alias("class_no"), own.eqNullSafe(F.col("first")).alias("first"))
+    return found.join(known, "name").select("id", "row", "no", "n_links", F.col("first.id").alias("class_id"), F.col("first.no").alias("class_no"), F.col("first.row").alias("class_row"), own.eqNullSafe(F.col("first")).alias("first"))
 
 
 def by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
