@@ -31,7 +31,7 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first k rows of each key; ``order`` must be total for a fixed result."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
 def without(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
