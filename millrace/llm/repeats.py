@@ -23,43 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import is_empty, map_arrow, materialize, small
+from millrace.llm.hashing import mix, power_tables, sums_of
 
 LENGTH = 400
 GRAM = 160
-#: Different strips of one anchor up to which they are compared in one task; beyond that, string by string, by hash.
+#: Different strips of one anchor up to which they are compared in one task; beyond that they are split by the half of the
+#: string that lies before or after the anchor, and where even that is shared by more, each string is compared by hash.
 CROWD = 4096
-#: Rows up to which a list of keys or of documents is broadcast.
+#: Documents up to which a list of their ids is broadcast; beyond that ids and texts meet by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes taken at a time; longer documents go in slices that overlap by a string less one byte.
 SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << (n - 1).bit_length()
-    if size not in _powers:
-        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = up.cumprod(dtype=np.uint64), down.cumprod(dtype=np.uint64)
-    return _powers[size]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    return x
 
 
 def _window_sums(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` consecutive bytes, the same wherever they stand."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return _mix((sums[width:] - sums[:-width]) * down[: len(sums) - width])
+    sums = sums_of(data)
+    return mix((sums[width:] - sums[:-width]) * power_tables(len(sums))[1][: len(sums) - width])
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -287,6 +268,40 @@ def _cut_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _by_half(length: int, gram: int):
+    """Strips of crowded anchors under narrower keys.
+
+    Equal strings at one anchor go on, beyond the gram, for length - gram bytes in all: at least half of them before it
+    or half of them after it. So each strip is keyed by the half before and by the half after, as far as it has them.
+    """
+    half = (length - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, take = [], []
+            for i, (anchor, before, text) in enumerate(zip(batch.column("anchor").to_pylist(), batch.column("before").to_pylist(), batch.column("bytes").to_pylist())):
+                for side, part in enumerate((text[before - half : before] if before >= half else b"", text[before : before + gram + half])):
+                    if len(part) == (half, gram + half)[side]:
+                        keys.append(xxhash.xxh3_64_intdigest(part, (anchor * 2 + side) % (1 << 64)))
+                        take.append(i)
+            rows = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), *rows.columns[1:]], names=rows.schema.names)
+
+    return run
+
+
+def same_document():
+    return F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+
+
+def _with_their(texts: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """The texts (id, row, text) that are named by (_id, _row), or with left_anti those that are not.
+
+    Only ids meet the texts here, by broadcast while they are few enough, so that no other text is dealt out.
+    """
+    return texts.join(small(named.select("_id", "_row"), BROADCAST_ROWS), same_document(), how)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(id, row, s, e): stretches of bytes, possibly overlapping, that together cover every byte of a repeated string.
 
@@ -297,27 +312,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(strips(texts, length, gram))
     keys = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("strip") == F.max("strip")).alias("same")).where("n > 1")
     keys = materialize(keys.select("anchor", "same"))
-    met = materialize(found.join(small(keys, BROADCAST_ROWS), "anchor"))
+    met = materialize(found.join(keys, "anchor"))
     whole = met.where("same")
 
     # Of anchors with different strips, one place for each strip; strips that stand in several places repeat as a whole.
     mixed = met.where("not same")
     kinds = materialize(mixed.groupBy("anchor", "strip").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "place", "before", "after")).alias("at")))
     again = kinds.where("n > 1").select("anchor", "strip")
-    direct = whole.select("id", "row", "place", "before", "after").union(mixed.join(small(again, BROADCAST_ROWS), ["anchor", "strip"], "left_semi").select("id", "row", "place", "before", "after"))
+    direct = whole.select("id", "row", "place", "before", "after").union(mixed.join(again, ["anchor", "strip"], "left_semi").select("id", "row", "place", "before", "after"))
     spans = direct.select("id", "row", (F.col("place") - F.col("before")).alias("s"), (F.col("place") - F.col("after") + length).alias("e"))
 
     open_keys = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("alone")).where("alone > 0")
     open_keys = materialize(open_keys.select("anchor", (F.col("kinds") > crowd).alias("crowded")))
-    wanted = kinds.join(small(open_keys, BROADCAST_ROWS), "anchor")
+    wanted = kinds.join(open_keys, "anchor")
     want = F.struct("anchor", "at.place", "at.before", "at.after", (F.col("n") == 1).alias("alone"), F.lit(length).alias("length"), "crowded")
     asked = materialize(wanted.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list(want).alias("wanted")))
     if is_empty(asked):
         return spans
 
     asked = asked.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "wanted")
-    held = texts.join(small(asked.select("_id", "_row"), BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi")
-    held = held.join(small(asked, BROADCAST_ROWS // 50), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    held = _with_their(texts, asked, "left_semi").join(asked, same_document())
     cut = f"anchor long, id {id_kind}, row long, place long, before int, alone boolean, bytes binary"
     these = lambda crowded: F.filter("wanted", lambda w: w.crowded == F.lit(crowded))
     parted = held.select("id", "row", "text", these(False).alias("wanted")).where(F.size("wanted") > 0)
@@ -325,10 +339,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.union(map_arrow(sorted_strips, _by_tree(length, _arrow_type(id_kind)), f"id {id_kind}, row long, s long, e long"))
     if not is_empty(open_keys.where("crowded")):
         crowds = held.select("id", "row", "text", these(True).alias("wanted")).where(F.size("wanted") > 0)
-        strings = materialize(map_arrow(map_arrow(crowds, _cut_strips, cut), _by_string(length), f"anchor long, h1 long, h2 long, id {id_kind}, row long, alone boolean, s long"))
-        repeated = materialize(strings.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        hits = strings.where("alone").join(small(repeated, BROADCAST_ROWS), ["anchor", "h1", "h2"], "left_semi")
-        spans = spans.union(hits.select("id", "row", "s", (F.col("s") + length).alias("e")))
+        halves = materialize(map_arrow(map_arrow(crowds, _cut_strips, cut), _by_half(length, gram), cut))
+        sizes = halves.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = materialize(sizes.select("anchor", (F.col("n") > crowd).alias("still")))
+        shared = halves.join(sizes, "anchor")
+        few = shared.where("not still").drop("still").repartition("anchor").sortWithinPartitions("anchor")
+        spans = spans.union(map_arrow(few, _by_tree(length, _arrow_type(id_kind)), f"id {id_kind}, row long, s long, e long"))
+        if not is_empty(sizes.where("still")):
+            many = shared.where("still").drop("still")
+            strings = materialize(map_arrow(many, _by_string(length), f"anchor long, h1 long, h2 long, id {id_kind}, row long, alone boolean, s long"))
+            repeated = materialize(strings.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+            hits = strings.where("alone").join(repeated, ["anchor", "h1", "h2"], "left_semi")
+            spans = spans.union(hits.select("id", "row", "s", (F.col("s") + length).alias("e")))
     return spans
 
 
@@ -336,42 +358,43 @@ def _arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "double": pa.float64()}[kind]
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, spans = batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist()
-        sizes, removed, runs, digests, kept_texts = [], [], [], [], []
-        for i, own in enumerate(spans):
-            text = texts[i].as_py() or b""
-            kept, at, gone, n = [], 0, 0, 0
-            end = -1
-            for s, e in sorted((x["s"], x["e"]) for x in own or ()):
-                if s > end:
-                    kept.append(text[at:s])
-                    n += 1
-                    start = s
-                else:
-                    start = end
-                if e > end:
-                    gone += e - start
-                    end = at = e
-            kept.append(text[at:])
-            rest = b"".join(kept)
-            sizes.append(len(text)), removed.append(gone), runs.append(n), digests.append(hashlib.sha256(rest).hexdigest())
-            kept_texts.append(rest)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def _remove(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(1).cast(pa.large_binary()), batch.column(2)
+            found: list[list] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or b""
+                kept, at, gone, n, end = [], 0, 0, 0, -1
+                for s, e in sorted((x["s"], x["e"]) for x in spans[i].as_py() or ()):
+                    if s > end:
+                        kept.append(text[at:s])
+                        n, start = n + 1, s
+                    else:
+                        start = end
+                    if e > end:
+                        gone += e - start
+                        end = at = e
+                kept.append(text[at:])
+                rest = b"".join(kept)
+                for column, v in zip(found, (len(text), gone, n, hashlib.sha256(rest).hexdigest(), rest if with_text else None)):
+                    column.append(v)
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in found[:3]), pa.array(found[3], pa.string()), pa.array(found[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary): each row's text without its repeated bytes.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same document too. Matches
-    never cross documents. Null texts are empty; a row for each row.
+    never cross documents. Null texts are empty; a row for each row. ``kept`` is null if the texts are not asked for.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram, crowd)
     by_doc = materialize(spans.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    few = by_doc.agg(F.sum(F.size("spans"))).first()[0] or 0
-    side = F.broadcast(by_doc) if few <= BROADCAST_ROWS else by_doc
-    joined = texts.join(side, texts.id.eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    whole = _with_their(texts, by_doc, "left_anti").select("id", "text", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"))
+    joined = whole.union(_with_their(texts, by_doc, "left_semi").join(by_doc, same_document()).select("id", "text", "spans"))
     kind = texts.schema["id"].dataType.simpleString()
-    return map_arrow(joined.select("id", "text", "spans"), _remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_arrow(joined.select("id", "text", "spans"), _remove(with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
