@@ -339,7 +339,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.union(map_arrow(sorted_strips, _by_tree(length, _arrow_type(id_kind)), f"id {id_kind}, row long, s long, e long"))
     if not is_empty(open_keys.where("crowded")):
         crowds = held.select("id", "row", "text", these(True).alias("wanted")).where(F.size("wanted") > 0)
-        halves = materialize(map_arrow(map_arrow(crowds, _cut_strips, cut), _by_half(length, gram), cut))
+        narrower = _by_half(length, gram)
+        halves = materialize(map_arrow(crowds, lambda batches: narrower(_cut_strips(batches)), cut))
         sizes = halves.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
         sizes = materialize(sizes.select("anchor", (F.col("n") > crowd).alias("still")))
         shared = halves.join(sizes, "anchor")
