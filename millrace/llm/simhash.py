@@ -191,6 +191,16 @@ def links(fps: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame:
             return found.distinct()
 
 
+def _named_fingerprints(rows: DataFrame, distance: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of each different fingerprint, and (root, at) of each component: the least (none, id, row) of its rows."""
+    at = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(at).alias("at")))
+    roots = connected_components(links(distinct.select("fp"), distance, crowd))
+    placed = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "at", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed)
+    return placed.select("fp", "root"), materialize(placed.groupBy("root").agg(F.min("at").alias("at")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3, crowd: int = CROWD) -> DataFrame:
     """(id, row, fp long, component_id): the smallest id reachable over fingerprints at ``distance`` bits or less.
 
@@ -198,19 +208,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have fingerprint zero, which links like any other. Null ids are never the component's name unless it has no other.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(links(distinct.select("fp"), distance, crowd))
-    placed = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed)
-    names = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = materialize(placed.join(names, "root").select("fp", "component_id"))
+    placed, firsts = _named_fingerprints(rows, distance, crowd)
+    by_fp = materialize(placed.join(firsts.select("root", F.col("at.id").alias("component_id")), "root").select("fp", "component_id"))
     return rows.join(by_fp, "fp").select("id", "row", "fp", "component_id")
 
 
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3, crowd: int = CROWD) -> DataFrame:
+    """The rows of docs, all columns kept, of one document for each component: of the smallest id, then the least text hash.
+
+    Components are told apart by their fingerprints, so those whose smallest ids are equal or all null keep a document
+    each. A null id is kept only where the component has no other. Of rows with equal id and text one stays.
+    """
+    rows = materialize(fingerprints(docs, id_col, text_col, width))
+    _, firsts = _named_fingerprints(rows, distance, crowd)
+    chosen = materialize(firsts.select(F.col("at.id").alias("_kept_id"), F.col("at.row").alias("_kept_row")))
+    met = rows.join(chosen, F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("row") == F.col("_kept_row")), "left_semi")
+    again = met.groupBy("id", "row").count().where("count > 1")
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (text_hash == F.col("_kept_row")), "left_semi")
+    # Whole rows are only dealt out again where an id does stand there more than once with its text.
+    return kept if is_empty(again) else kept.withColumn("_kept_row", text_hash).dropDuplicates([id_col, "_kept_row"]).drop("_kept_row")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs, all columns kept, of one document for each component: that of the smallest id.
 
-    Of several rows with that id one stays, of the least text hash.
+    Of several rows with that id one stays, of the least text hash. Components of equal names count as one, and so do
+    all that hold only null ids; ``one_of_each_component`` keeps a document of each of those.
     """
     found = near_duplicates(docs, id_col, text_col, **more).where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = materialize(found.groupBy(F.col("id").alias("_kept_id")).agg(F.min("row").alias("_kept_row"), F.count("*").alias("_n")))

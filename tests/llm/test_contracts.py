@@ -143,6 +143,23 @@ def test_one_of_each(docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_component_keeps_unrelated_documents(spark, docs):
+    import corpus_pipeline
+
+    of = classes({plain_fingerprint(t) for _, t in hostile()}, 3)
+    first = {}
+    for i, t in hostile():
+        first.setdefault(of[plain_fingerprint(t)], []).append((i is None, i or 0, i, t))
+    left = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert left.columns == docs.columns
+    got = Counter((r.doc_id, of[plain_fingerprint(r.text)]) for r in left.collect())
+    assert got == Counter((min(x[:3] for x in rows)[2], c) for c, rows in first.items())
+    unrelated = [(None, "no name and first text"), (None, "another text without a name"), (4, "one two three"), (4, "something else entirely here"), (4, "something else entirely here")]
+    df = spark.createDataFrame(unrelated, "doc_id long, text string")
+    assert as_set(corpus_pipeline.near_duplicates(spark, df, None), "doc_id", "text") == Counter(set(unrelated))
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), None).count() == 0
+
+
 def test_components_on_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
