@@ -24,7 +24,7 @@ from millrace.llm.components import connected_components
 from millrace.llm.hashing import hashes_of, sums_of
 
 THRESHOLD = 2
-#: Shorter lines are only joined with equal ones.
+#: The default of ``least``: shorter lines are only joined with equal ones. The query sets it to 1, so it leaves no line out.
 LEAST_CHARS = 16
 #: Lines under one key up to which all are compared; beyond that the key is split by parts of the sketch.
 CROWD = 4096
@@ -50,18 +50,25 @@ def cuts(n: int, threshold: int) -> list[tuple[int, int]]:
 
 
 def places(n: int, threshold: int) -> list[tuple[int, int, int, int, int]]:
-    """(segment, length of the indexed line, start, length, role) of all that a line of n characters looks up or is found by."""
+    """(segment, length of the indexed line, start, length, role) of all that a line of n characters looks up or is found by.
+
+    A line of no more characters than the threshold has an empty segment, so all lines of about its length look it up;
+    its other segments are left out.
+    """
     rows: dict[tuple[int, int, int, int], int] = {}
     for shorter in range(threshold + 1):
         m = n - shorter
-        if m < threshold + 1:
+        if m < 1:
             break
         for i, (at, length) in enumerate(cuts(m, threshold)):
+            if m <= threshold:
+                rows[0, m, 0, 0] = PROBE
+                break
             low = max(at - i, at + shorter - (threshold - i), 0)
             high = min(at + i, at + shorter + (threshold - i), n - length)
             for p in range(low, high + 1):
                 rows[i, m, p, length] = PROBE
-    for i, (at, length) in enumerate(cuts(n, threshold)):
+    for i, (at, length) in enumerate(cuts(n, threshold)[: 1 if n <= threshold else None]):
         rows[i, n, at, length] = rows.get((i, n, at, length), 0) | INDEX
     return [(*k, role) for k, role in rows.items()]
 
@@ -111,11 +118,12 @@ def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities of hashed character pairs for each line of two characters or more."""
+    """SKETCH_BITS parities of hashed character pairs for each line of one character or more."""
     flat = codes.astype(np.uint64)
     pair = (flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
     bit = np.uint64(1) << ((pair >> np.uint64(40)) % np.uint64(SKETCH_BITS))
-    bit[ends[:-1] - 1] = 0  # a pair over a line's end
+    bit = np.append(bit, np.uint64(0))
+    bit[ends - 1] = 0  # a pair over a line's end
     return np.bitwise_xor.reduceat(bit, np.concatenate([[0], ends[:-1]]))
 
 
@@ -252,8 +260,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
     """(a, b): names of different lines of at least ``least`` characters within ``threshold`` edits, each pair once."""
-    if least < threshold + 1:
-        raise ValueError("a line needs a character for each segment")
+    if least < 1:
+        raise ValueError("a line has a character at least")
     rows = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), _keys(threshold, least), "key long, line long, sketch long")
     schema = "kind byte, key long, a long, b long"
     met = materialize(map_arrow(rows.repartition("key").sortWithinPartitions("key"), _meet(threshold, crowd), schema))

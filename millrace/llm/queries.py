@@ -28,7 +28,7 @@ def op3_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.by_document(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return linedup.by_document(table(spark, sf_dir, "documents"), least=1).withColumnRenamed("id", "doc_id")
 
 
 def op5_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,26 @@ def test_line_links_are_all_found(spark, crowd):
     assert set(got) == want and max(got.values()) == 1
 
 
+def plain_links(texts, threshold=2):
+    different = sorted({x for t in texts if t for x in t.split("\n") if WORD.search(x)})
+    return different, {(a, b) for i, a in enumerate(different) for b in different[i + 1 :] if abs(len(a) - len(b)) <= threshold and linedup.edits(a, b, threshold) <= threshold}
+
+
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_short_lines_are_linked_too(spark, tmp_path, monkeypatch, crowd):
+    rng = random.Random(crowd)
+    lines = ["With, to to.", "With to to.", "Page 12 of 40", "Page 13 of 40", "a", "é", "ab", "xyz", " z "]
+    lines += [changed(rng, "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 18)))) for _ in range(120)]
+    texts = ["\n".join(rng.sample(lines, 4)) for _ in range(60)] + ["\n".join(lines[:9]), "", None, " \n\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    _, want = plain_links(texts)
+    degree = Counter(x for pair in want for x in pair)
+    by_document = linedup.by_document
+    monkeypatch.setattr(linedup, "by_document", lambda docs, **more: by_document(docs, crowd=crowd, **more))
+    got = {r.doc_id: r.n_links for r in queries.op4_line_edit_join(spark, str(tmp_path)).collect()}
+    assert got == {i: sum(degree[x] for x in (t or "").split("\n")) for i, t in enumerate(texts)}
+
+
 def test_line_classes(docs):
     lines = [(i, xxhash.xxh64_intdigest((t or "").encode(), 42), no, x) for i, t in hostile() if t is not None for no, x in enumerate(t.split("\n")) if WORD.search(x)]
     different = sorted({x for *_, x in lines})
