@@ -10,7 +10,7 @@ threshold. Equal lines are one entry.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +28,16 @@ THRESHOLD = 2
 LEAST_CHARS = 16
 #: Lines under one key up to which all are compared; beyond that the key is split by parts of the sketch.
 CROWD = 4096
+#: A key that its sketch parts do not thin out is compared by pairs of blocks of so many times CROWD rows, a task for each pair.
+BLOCK = 16
+#: Rows of index and probes compared at a time.
+TILE = 512, 2048
 #: Lines that met another up to which their list is broadcast to fetch the texts; beyond that the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Characters of lines worked on at a time, and names of lines remembered as given out.
 CHUNK_CHARS, MEMO = 500_000, 100_000
 SKETCH_BITS, PARTS = 60, 10
-INDEX, PROBE = 1, 2
+INDEX, PROBE, LEFT, RIGHT = 1, 2, 4, 8
 _ROLE = np.uint64(SKETCH_BITS)
 
 
@@ -177,12 +181,22 @@ def _finer(key: int, line: np.ndarray, sketch: np.ndarray) -> Iterator[pa.Record
         yield _rows(1, mixed.view(np.int64), line.view(np.int64), sketch.view(np.int64))
 
 
-def _rows(kind: int, key, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int8()), pa.array(key), pa.array(a), pa.array(b)], names=["kind", "key", "a", "b"])
+def _thins(sketch: np.ndarray) -> bool:
+    """Whether splitting these rows by each two of the sketch's parts leaves fewer comparisons than they have as they are."""
+    width, met = SKETCH_BITS // PARTS, 0
+    part = [(sketch >> np.uint64(width * i)) & np.uint64((1 << width) - 1) for i in range(PARTS)]
+    for i, j in combinations(range(PARTS), 2):
+        met += int((np.bincount((part[i] << np.uint64(width) | part[j]).astype(np.int64)) ** 2).sum())
+    return 2 * met < len(sketch) ** 2
+
+
+def _rows(kind: int | np.ndarray, key, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(key), pa.array(a), pa.array(b)], names=["kind", "key", "a", "b"])
 
 
-def _meet(threshold: int, crowd: int | None):
-    """Rows sorted by key: pairs of lines whose sketches are near (kind 0), or a crowded key's rows under finer keys (kind 1)."""
+def _meet(threshold: int, crowd: int | None, finer: bool = True):
+    """Rows sorted by key: pairs of lines whose sketches are near (kind 0), or a crowded key's rows, under finer keys
+    (kind 1) or, where those would not thin it out or are not wanted, under its own key dealt into blocks (kind 2 and up)."""
     low = np.uint64((1 << SKETCH_BITS) - 1)
 
     def pairs(line, sketch):
@@ -190,28 +204,34 @@ def _meet(threshold: int, crowd: int | None):
         role = np.zeros(len(one), dtype=np.uint64)
         np.bitwise_or.at(role, np.searchsorted(line[one], line), sketch >> _ROLE)
         line, sketch = line[one], sketch[one] & low
-        index, probe = np.flatnonzero(role & np.uint64(INDEX)), np.flatnonzero(role & np.uint64(PROBE))
-        for x in range(0, len(index), 512):
-            near = np.bitwise_count(sketch[index[x : x + 512], None] ^ sketch[None, probe]) <= 4 * threshold
-            i, j = np.nonzero(near)
-            a, b = line[index[x + i]], line[probe[j]]
-            other = a != b
-            if other.any():
-                yield np.minimum(a, b)[other].view(np.int64), np.maximum(a, b)[other].view(np.int64)
-
-    def group(key, line, sketch, crowded):
-        if crowded:
+        having = lambda bits: np.flatnonzero((role & np.uint64(bits)) == bits)
+        ways = [(INDEX | LEFT, PROBE | RIGHT), (INDEX | RIGHT, PROBE | LEFT)] if (role & np.uint64(LEFT | RIGHT)).any() else [(INDEX, PROBE)]
+        for index, probe in [(having(one), having(other)) for one, other in ways]:
+            for x in range(0, len(index), TILE[0]):
+                for y in range(0, len(probe), TILE[1]):
+                    near = np.bitwise_count(sketch[index[x : x + TILE[0]], None] ^ sketch[None, probe[y : y + TILE[1]]]) <= 4 * threshold
+                    i, j = np.nonzero(near)
+                    a, b = line[index[x + i]], line[probe[y + j]]
+                    other = a != b
+                    if other.any():
+                        yield np.minimum(a, b)[other].view(np.int64), np.maximum(a, b)[other].view(np.int64)
+
+    def group(key, line, sketch, crowded, thins, n_out):
+        if crowded and thins:
             yield from _finer(key, line, sketch)
+        elif crowded:
+            blocks = 2 + (n_out + np.arange(len(line))) // (BLOCK * crowd)
+            yield _rows(blocks, np.full(len(line), key).view(np.int64), line.view(np.int64), sketch.view(np.int64))
         else:
             for a, b in pairs(line, sketch):
                 yield _rows(0, np.zeros(len(a), dtype=np.int64), a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, n_held, crowded = None, [], 0, False
+        key, held, n_held, crowded, thins, n_out = None, [], 0, False, False, 0
 
         def close():
             if n_held > 1 or crowded:
-                yield from group(key, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), crowded)
+                yield from group(key, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), crowded, thins, n_out)
 
         for batch in batches:
             k, line, sketch = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
@@ -225,18 +245,33 @@ def _meet(threshold: int, crowd: int | None):
                 s, e = starts[g], ends[g]
                 if k[s] != key:
                     yield from close()
-                    key, held, n_held, crowded = k[s], [], 0, False
+                    key, held, n_held, crowded, n_out = k[s], [], 0, False, 0
                 held.append((line[s:e], sketch[s:e]))
                 n_held += e - s
                 if crowd and n_held > crowd:
+                    # One way for all of a key's rows, by the first of them.
+                    thins = thins if crowded else finer and _thins(np.concatenate([h[1] for h in held]))
                     crowded = True
                     yield from close()
-                    held, n_held = [(line[:0], sketch[:0])], 0
+                    held, n_held, n_out = [(line[:0], sketch[:0])], 0, n_out + n_held
         yield from close()
 
     return run
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(key, line, sketch) of rows dealt into blocks: under a key for each two blocks of one group, marked by its side.
+
+    A block meets itself without a side. All pairs of a group meet, and no task holds more than two blocks.
+    """
+    rows = rows.select("key", (F.col("kind") - 2).alias("block"), F.col("a").alias("line"), F.col("b").alias("sketch"))
+    last = materialize(rows.groupBy("key").agg(F.max("block").alias("last")))
+    each = rows.join(small(last, BROADCAST_ROWS), "key").withColumn("with", F.explode(F.sequence(F.lit(0), "last")))
+    side = F.when(F.col("block") < F.col("with"), LEFT).when(F.col("block") > F.col("with"), RIGHT).otherwise(0).cast("long")
+    key = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
+    return each.select(key.alias("key"), "line", F.col("sketch").bitwiseOR(F.shiftleft(side, SKETCH_BITS)).alias("sketch"))
+
+
 def _verify(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,13 +298,16 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if least < 1:
         raise ValueError("a line has a character at least")
     rows = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), _keys(threshold, least), "key long, line long, sketch long")
-    schema = "kind byte, key long, a long, b long"
-    met = materialize(map_arrow(rows.repartition("key").sortWithinPartitions("key"), _meet(threshold, crowd), schema))
-    pairs = met.where("kind = 0").select("a", "b")
-    crowded = met.where("kind = 1").select("key", F.col("a").alias("line"), F.col("b").alias("sketch"))
+    schema = "kind int, key long, a long, b long"
+    meet = lambda df, *more: materialize(map_arrow(df.repartition("key").sortWithinPartitions("key"), _meet(threshold, *more), schema))
+    met = [meet(rows, crowd)]
+    crowded = met[0].where("kind = 1").select("key", F.col("a").alias("line"), F.col("b").alias("sketch"))
     if not is_empty(crowded):
-        finer = crowded.repartition("key").sortWithinPartitions("key")
-        pairs = pairs.union(materialize(map_arrow(finer, _meet(threshold, None), schema)).select("a", "b"))
+        met.append(meet(crowded, crowd, False))
+    for blocks in [m.where("kind > 1") for m in met]:
+        if not is_empty(blocks):
+            met.append(meet(_block_pairs(blocks), None))
+    pairs = reduce(DataFrame.union, [m.where("kind = 0").select("a", "b") for m in met])
     pairs = materialize(pairs.distinct())
     # The texts of the lines that met, from another look at the documents.
     wanted = materialize(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct())

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, components, decontam, linedup, mixing, pseudonym, quality, queries, repeats, rules, simhash, sql, tokens
+from millrace.llm.common import map_arrow
 from tests.compare import connect, rows
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -320,6 +321,19 @@ def test_short_lines_are_linked_too(spark, tmp_path, monkeypatch, crowd):
     assert got == {i: sum(degree[x] for x in (t or "").split("\n")) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_a_family_under_one_key_stays_bounded(spark, monkeypatch, crowd):
+    rng = random.Random(crowd)
+    lines = sorted({f"The invoice with number {rng.randrange(10**4):04} has been paid" for _ in range(600)})
+    groups = []
+    monkeypatch.setattr(linedup, "map_arrow", lambda df, run, schema: (groups.append(df.groupBy("key").count().agg(F.max("count")).first()[0]) if schema.startswith("kind") else None, map_arrow(df, run, schema))[1])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    names = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = Counter(tuple(sorted((names[bytes(r.a)], names[bytes(r.b)]))) for r in linedup.line_links(df, crowd=crowd).collect())
+    assert set(got) == plain_links(lines)[1] and max(got.values()) == 1
+    assert len(groups) == 1 if crowd == 1000 else groups[-1] <= 2 * 16 * crowd
+
+
 def test_line_classes(docs):
     lines = [(i, xxhash.xxh64_intdigest((t or "").encode(), 42), no, x) for i, t in hostile() if t is not None for no, x in enumerate(t.split("\n")) if WORD.search(x)]
     different = sorted({x for *_, x in lines})
