@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.sinks import written
+
 
 def asof_last(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, right_ts: str, out: str) -> DataFrame:
     """left with ``out``: the latest right_ts of the same keys at or before ts, or null.
@@ -58,17 +60,17 @@ def coverage_gap(demand: DataFrame, polls: DataFrame, queues: str, queue: str, p
 
 
 def run_tree(runs: DataFrame, roots: DataFrame, id_col: str, parent: str, max_depth: int) -> DataFrame:
-    """(root, id, depth) below the given roots, level by level as one recursive query; no run is visited twice in a tree
-    of single parents, and ``max_depth`` ends cycles."""
-    spark = runs.sparkSession
-    runs.select(F.col(id_col).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView("_tree_runs")
-    roots.select(F.col(id_col).alias("id")).createOrReplaceTempView("_tree_roots")
-    return spark.sql(f"""
-        with recursive walk (root, id, depth) max recursion level {max_depth + 2} as (
-          select id, id, 0 from _tree_roots
-          union all
-          select w.root, r.id, w.depth + 1 from walk w join _tree_runs r on r.parent = w.id where w.depth < {int(max_depth)} and r.id <> w.id
-        ) select root, id, depth from walk""")
+    """(root, id, depth) below the given roots, by a join for each level, until a level is empty; no run is visited twice
+    in a tree of single parents, and ``max_depth`` ends cycles. Levels are written out, so their number of rows is not limited."""
+    edges = written(runs.select(F.col(id_col).alias("_id"), F.col(parent).alias("_parent")).where("_parent <> _id"))
+    level = written(roots.select(F.col(id_col).alias("root"), F.col(id_col).alias("id"), F.lit(0).alias("depth")))
+    found = level
+    for depth in range(1, max_depth + 1):
+        level = written(level.join(edges, F.col("_parent") == F.col("id")).select("root", F.col("_id").alias("id"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        found = found.union(level)
+    return found
 
 
 def next_of(a: str, b: str, after_a, after_b) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +29,12 @@ def mermaid(edges: DataFrame, graph: str, task: str, upstream: str) -> DataFrame
 def orphans(files: DataFrame, references: DataFrame, path: str, modified: str, older_than) -> DataFrame:
     """Stored files that no row refers to and that are older than a grace period."""
     return files.where(F.col(modified) < F.lit(older_than)).join(references.select(path).distinct(), path, "left_anti")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet under spark.checkpoint.dir (a temporary folder where that is not set) and read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -81,6 +81,16 @@ def test_first_difference(spark):
     assert row(["x", "y"], ["x", "y"]) is None
 
 
+def test_run_tree_has_no_row_limit(spark):
+    runs = spark.range(2, 300).selectExpr("id", "id div 2 as parent")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        got = J.run_tree(runs, spark.createDataFrame([(1,)], "id long"), "id", "parent", 12).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sorted(map(tuple, got)) == [(1, i, i.bit_length() - 1) for i in range(1, 300)]
+
+
 def test_run_tree_ends_on_cycles(spark):
     runs = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, parent long")
     assert J.run_tree(runs, spark.createDataFrame([(1,)], "id long"), "id", "parent", 5).count() == 6
