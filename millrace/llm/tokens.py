@@ -11,26 +11,31 @@ Payloads are rows of a Parquet folder, so that Spark commits, retries and reads
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, shared_dir
+from millrace.llm.common import map_arrow, shared_dir, small
 
 BLOCK = 256
 #: Share of a block's differences that must fit the packed width.
 SHARE = 0.9
 #: A payload ends with the document in which it reaches so many ids.
 CHUNK_IDS = 1 << 16
-#: Words and pieces kept with their ids; when full, half is given up at a time.
-MEMO = 400_000
+#: Different words that the library encodes in one call, and words of texts put together at a time.
+WORDS, STRETCH = 500, 500_000
+#: Words that a worker keeps with their ids, beside those of a batch and as many older ones, and how long they may be.
+MEMO, MEMO_CHARS = 600_000, 64
+#: Writing tasks up to which the number of ids before each is broadcast; beyond that it joins by shuffle.
+BROADCAST_ROWS = 1_000_000
 INDEX = np.dtype([("start", "<u4"), ("exceptions", "<u4"), ("least", "<u4"), ("width", "u1")])
 
 
@@ -119,70 +124,100 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return out.ravel()[start - first * BLOCK : stop - first * BLOCK].astype(np.uint32)
 
 
-# Fixed values of the byte-level alphabet: these bytes stand for themselves, the others for code points from 256 on.
-SELF_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-LETTERS, DIGITS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+# The chain of a file whose ids of a text are those of its words, cut at ASCII white space. The normalizer
+# only turns white space into spaces, composes and lower-cases within words, and no piece of the pre-tokenizer holds white space.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-class WordEncoder:
-    """Ids of a text, word by word, with those of frequent words kept.
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file has the chain above, and no added token with white space in it or beside it."""
+    first = {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}
+    then = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    chain = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers")
+    added = spec.get("added_tokens") or []
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in added)
+    return chain == (WORD_NORMALIZERS, [first, then]) and plain and not (spec.get("truncation") or spec.get("padding"))
 
-    Neither the normalizer nor the pre-tokenizer of the file reaches across ASCII white space, so a text's ids are those
-    of its words in order. Words of printable characters below U+0180 are cut into their pieces here, and the library's
-    model encodes each piece; all other words go through the library's whole chain.
+
+class Encoder:
+    """Ids of whole texts by the library's own chain.
+
+    Where the file's chain cuts at ASCII white space, each different word of a batch is encoded once, many in one call,
+    and the texts' ids are put together from their words'; words of earlier batches are kept with their ids. With any other file every text is encoded whole.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.memo = Tokenizer.from_file(path), memo
-        self.model = self.whole.model
-        others = iter(range(256, 512))
-        own = set(SELF_BYTES)
-        self.alphabet = {b: chr(b if b in own else next(others)) for b in range(256)}
-        self.plain = re.compile("[!-~¡-įı-ſ]+")
-        self.pieces = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _room(self, kept: dict) -> None:
-        if len(kept) >= self.memo:
-            for k in list(kept)[: self.memo // 2]:
-                del kept[k]
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
-        if found is None:
-            self._room(self.parts)
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-            found = self.parts[piece] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.plain.fullmatch(text) and "<|" not in text:
-            found = b"".join(map(self._piece, self.pieces.findall(text.lower())))
-        else:
-            found = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self._room(self.words)
-        self.words[word] = found
-        return found
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        get, word = self.words.get, self._word
-        return b"".join([get(w) or word(w) for w in text.split()])
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_at_spaces(json.load(f))
+        # What was lately used, and before that: the older half goes when the younger is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _new(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word by the library, many words in one call."""
+        for x in range(0, len(words), WORDS):
+            part = words[x : x + WORDS]
+            ends = np.cumsum([len(w) + 1 for w in part])
+            found = self.whole.encode(" ".join(part), add_special_tokens=False)
+            of = np.searchsorted(ends, np.array([s for s, _ in found.offsets], dtype=np.int64), side="right")
+            stops = np.searchsorted(of, np.arange(len(part)), side="right").tolist()
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            yield from (ids[4 * s : 4 * e] for s, e in zip([0, *stops], stops))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        found = list(map(self.young.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            found[i] = self.old.get(words[i])
+        new = [i for i in missing if found[i] is None]
+        for i, ids in zip(new, self._new([words[i] for i in new])):
+            found[i] = ids
+        self.young.update({words[i]: found[i] for i in missing if len(words[i]) <= MEMO_CHARS})
+        if len(self.young) >= MEMO:
+            self.young, self.old = {}, self.young
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text) for stretches of the texts in order; each text's ids end with ``end_id``."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_word:
+            for t in texts:
+                ids = self.whole.encode(t.as_py(), add_special_tokens=False).ids
+                yield np.array([*ids, end_id], dtype="<u4"), np.array([len(ids) + 1])
+            return
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        ids, counts = self._words(coded.dictionary.to_pylist()) if len(coded) else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        ids, counts = np.append(ids, np.uint32(end_id)), np.append(counts, 1)  # the end counts as one more word
+        first = np.cumsum(counts) - counts
+        used, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        row = 0
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + STRETCH, side="right")) - 1)
+            cuts = bounds[row : stop + 1] - bounds[row]
+            words = np.insert(used[bounds[row] : bounds[stop]], cuts[1:], len(counts) - 1)
+            sizes = counts[words]
+            ends = np.cumsum(sizes)
+            at = np.repeat(first[words] - (ends - sizes), sizes) + np.arange(ends[-1])
+            of_texts = ends[cuts[1:] + np.arange(stop - row)]
+            yield ids[at], np.diff(of_texts, prepend=0)
+            row = stop
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One for each worker process and file, kept between tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -195,27 +230,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        shard, start, chunk, ids, lengths, parts, held = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
+        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        start, chunk, ids, lengths, parts, held, id_type = 0, 0, [], [], [], 0, None
 
         def flush():
-            payload = pack(np.frombuffer(b"".join(parts), "<u4"))
-            columns = [pa.array([shard]), pa.array([chunk]), pa.array([start]), pa.array([held]), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
+            columns = [pa.array([shard]), pa.array([chunk]), pa.array([start]), pa.array([held]), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(np.concatenate(parts))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "chunk", "start", "n_ids", "ids", "lengths", "payload"])
 
-        id_type = None
         for batch in batches:
-            id_type = batch.column(0).type
-            texts = batch.column(1).cast(pa.binary())
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                part = enc.encode(texts[i].as_py() or b"") + end
-                ids.append(key)
-                parts.append(part)
-                lengths.append(len(part) // 4)
-                held += len(part) // 4
-                if held >= CHUNK_IDS:
-                    yield flush()
-                    start, chunk, ids, lengths, parts, held = start + held, chunk + 1, [], [], [], 0
+            id_type, keys, row = batch.column(0).type, batch.column(0).to_pylist(), 0
+            for stream, sizes in enc.encode(batch.column(1), end_id):
+                ends, done = np.cumsum(sizes), 0
+                while done < len(sizes):
+                    # Up to and with the document in which the payload is full.
+                    taken = int(ends[done - 1]) if done else 0
+                    stop = min(len(sizes), int(np.searchsorted(ends, taken + CHUNK_IDS - held)) + 1)
+                    ids += keys[row + done : row + stop]
+                    lengths += sizes[done:stop].tolist()
+                    parts.append(stream[taken : ends[stop - 1]])
+                    held, done = held + int(ends[stop - 1]) - taken, stop
+                    if held >= CHUNK_IDS:
+                        yield flush()
+                        start, chunk, ids, lengths, parts, held = start + held, chunk + 1, [], [], [], 0
+                row += len(sizes)
         if ids:
             yield flush()
 
@@ -247,7 +284,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # One row for each shard, that is, for each task that wrote.
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return docs.join(F.broadcast(before), "shard").select("id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return docs.join(small(before, BROADCAST_ROWS), "shard").select("id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,6 +294,3 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "
     write_tokens(docs, path, tokenizer, end_id, id_col, text_col)
     return read_tokens(spark, path).select("id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

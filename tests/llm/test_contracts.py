@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -370,16 +371,36 @@ def test_packing_is_exact():
                 assert (tokens.unpack(payload, a, b) == ids[a:b]).all()
 
 
-def test_word_encoder_equals_the_library(data):
+ODD_TEXTS = ["It's DON'T we'Ll 'tis ''s", "<|endoftext|> x<|startoftext|>y", "½ ² ª º ß İ ſ ŉ Ǆ", "é ́a áb", "ΑΣ ΣΑΣ. Σ", "日本語 テスト한국어", "١٢٣ ๓", " \n", "\x0b a  b\r\n\x1c", "w " * 30_000]
+
+
+@pytest.mark.parametrize("name,by_word", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_equals_the_library(data, monkeypatch, name, by_word):
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    whole, ours = Tokenizer.from_file(path), tokens.WordEncoder(path, memo=500)
-    texts = [t or "" for _, t in hostile()] + ["It's DON'T we'Ll 'tis ''s", "<|endoftext|> x<|startoftext|>y", "½ ² ª º ß İ ſ ŉ Ǆ", "é ́a áb", "ΑΣ ΣΑΣ. Σ", "日本語 テスト한국어", "١٢٣ ๓"]
+    monkeypatch.setattr(tokens, "WORDS", 7)
+    monkeypatch.setattr(tokens, "STRETCH", 50)
+    monkeypatch.setattr(tokens, "MEMO", 100)
+    path = public_tokenizers.path(name)
+    whole, ours = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert ours.by_word == by_word
+    texts = [t for _, t in hostile()] + ODD_TEXTS
     texts += pd.read_parquet(f"{data}/documents.parquet").text.tolist()
     texts += pd.read_parquet(f"{data}/pages.parquet").html.tolist()[:50]
-    for t in texts:
-        assert ours.encode(t.encode()) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t[:80]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    got = list(ours.encode(pa.array(texts), 1))
+    assert np.concatenate([n for _, n in got]).tolist() == [len(w) for w in want]
+    assert np.concatenate([i for i, _ in got]).tolist() == [i for w in want for i in w]
+    assert not list(ours.encode(pa.array([], pa.string()), 1))
+
+
+def test_only_the_known_chain_is_cut_at_spaces():
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    assert tokens.cuts_at_spaces(spec)
+    assert not tokens.cuts_at_spaces(spec | {"normalizer": None})
+    assert not tokens.cuts_at_spaces(spec | {"added_tokens": [spec["added_tokens"][0] | {"content": "a b"}]})
+    assert not tokens.cuts_at_spaces(spec | {"pre_tokenizer": {"type": "Whitespace"}})
 
 
 def test_token_rows(docs):
@@ -395,6 +416,7 @@ def test_token_rows(docs):
     for r in got:
         assert r.start == at
         at += r.n_tokens
+    assert tokens.token_rows(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
 # Pseudonyms
