@@ -33,7 +33,7 @@ def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
-    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def op6_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,16 +5,19 @@ in such a string the one with the least hash is its anchor, wherever the string
 so divided into runs with one anchor each, and a run with its bytes is a strip. Equal strings lie in strips of one anchor
 and at one place beside it.
 
-Strips that are equal as a whole are only counted. The different strips of one anchor are suffixes cut at the anchor:
-they are sorted by the bytes from it on, and a scan with a stack over the common prefix lengths gives the tree's intervals.
-Within an interval the bytes before the anchor, sorted backwards, show where occurrences differ to the left: there the
-repeat cannot be extended, and all its occurrences are one maximal group.
+Strips that are equal as a whole are one leaf of their anchor's tree, with a count. The different strips of one anchor are
+suffixes cut at the anchor: they are sorted by the bytes from it on, and a scan with a stack over the common prefix lengths
+gives the tree's intervals. Within an interval the bytes before the anchor, sorted backwards, show where occurrences differ
+to the left: there the repeat cannot be extended, and all its occurrences are one maximal group. ``repeat_groups`` gives
+these groups with every occurrence. What is removed needs of each strip only the innermost group of each interval, which
+``Tree.reaches`` reads off the same intervals without writing out the others' members.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from millrace.llm.hashing import mix, power_tables, sums_of
 
 LENGTH = 400
 GRAM = 160
+#: A passage: a run of bytes covered by repeated strings of the first length (with anchors of the second) that holds so many words.
+PASSAGE, PASSAGE_WORDS = (250, 100), 50
 #: Different strips of one anchor up to which they are compared in one task; beyond that they are split by the half of the
 #: string that lies before or after the anchor, and where even that is shared by more, each string is compared by hash.
 CROWD = 4096
@@ -149,7 +154,8 @@ def _common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Tree:
     """The interval tree of the strips of one anchor, given as (bytes before it, bytes from it on)."""
 
-    def __init__(self, before: list[bytes], after: list[bytes]):
+    def __init__(self, before: list[bytes], after: list[bytes], counts: list[int] | None = None):
+        self.leaves = [(len(b), len(a), i) for i, (b, a, n) in enumerate(zip(before, after, counts or ())) if n > 1]
         order = sorted(range(len(after)), key=after.__getitem__)
         self.order = np.array(order)
         rows, sizes = _matrix([after[i] for i in order])
@@ -169,9 +175,10 @@ class Tree:
     def groups(self, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(bytes before the anchor, bytes from it on, strips) of each maximal repeat of at least ``length`` bytes.
 
-        Its occurrences differ, or end, both before and after it; all of them are in the group.
+        Its occurrences differ, or end, both before and after it; all of them are in the group. A strip that stands in
+        several places is a group by itself, unless it is a part of others.
         """
-        given = set()
+        given, whole = set(), set(self.leaves)
         for members, common, depth in self.nodes(length):
             for first, last, back in intervals(common.tolist(), length - depth):
                 inside = members[first : last + 1]
@@ -180,7 +187,10 @@ class Tree:
                     found = np.sort(self.order[inside])
                     if (back, depth, found.tobytes()) not in given:
                         given.add((back, depth, found.tobytes()))
+                        whole.difference_update((back, depth, i) for i in found.tolist())
                         yield back, depth, found
+        for back, depth, i in sorted(whole):
+            yield back, depth, np.array([i])
 
     def reaches(self, length: int) -> Iterator[tuple[int, int, int]]:
         """(strip, bytes before, bytes after): the longest repeat in each interval of which the strip is part."""
@@ -214,42 +224,73 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield held
 
 
-def _by_tree(length: int, id_type: pa.DataType):
+def _halves(g: dict) -> tuple[list[bytes], list[bytes]]:
+    return [b[:n] for b, n in zip(g["bytes"], g["before"])], [b[n:] for b, n in zip(g["bytes"], g["before"])]
+
+
+def _by_tree(length: int):
+    """Sorted strips to (id, row, s, e): of each that stands in one place, the innermost repeats over it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def typed(batches):
+            for batch in batches:
+                kinds[:] = [batch.schema.field("id").type]
+                yield batch
+
         out: list[list] = [[], [], [], []]
 
         def full():
-            return pa.RecordBatch.from_arrays([pa.array(out[0], id_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["id", "row", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], kinds[0]), *(pa.array(c, pa.int64()) for c in out[1:])], names=["id", "row", "s", "e"])
 
-        for g in _grouped(batches):
+        for g in _grouped(typed(batches)):
             if len(g["bytes"]) < 2:
                 continue
-            tree = Tree([b[:n] for b, n in zip(g["bytes"], g["before"])], [b[n:] for b, n in zip(g["bytes"], g["before"])])
-            for i, back, on in tree.reaches(length):
-                if g["alone"][i]:
+            for i, back, on in Tree(*_halves(g)).reaches(length):
+                if g["n"][i] == 1:
                     for column, v in zip(out, (g["id"][i], g["row"][i], g["place"][i] - back, g["place"][i] + on)):
                         column.append(v)
             if len(out[0]) > 10_000:
                 yield full()
                 out = [[], [], [], []]
-        yield full()
+        if out[0]:
+            yield full()
+
+    return run
+
+
+def _groups_by_tree(length: int):
+    """Sorted strips to (at, grp, strip, back, ahead): the maximal groups with the strips that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches):
+            out: list[list] = [[], [], [], [], []]
+            for back, on, members in Tree(*_halves(g), g["n"]).groups(length):
+                names = sorted({g["strip"][i] for i in members})
+                group = xxhash.xxh3_64_intdigest(np.array([g["at"][0], back, on, *names], dtype=np.int64).tobytes())
+                for strip in names:
+                    for column, v in zip(out, (g["at"][0], group - (1 << 63), strip, back, on)):
+                        column.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["at", "grp", "strip", "back", "ahead"])
 
     return run
 
 
 def _by_string(length: int):
-    """Each string of each strip, by two independent hashes."""
+    """Each string of each strip, by two independent hashes; ``back`` is how far before the anchor it starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[i].as_py(), dtype=np.uint8)
+                data = batch.column("bytes")[i].as_py()
                 n = len(data) - length + 1
                 views = memoryview(data)
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(views[j : j + length]) for j in range(n)]), dtype=np.int64).reshape(-1, 2)
-                start = batch.column("place")[i].as_py() - batch.column("before")[i].as_py()
                 same = lambda c: batch.column(c).take(pa.array(np.full(n, i)))
-                yield pa.RecordBatch.from_arrays([same("anchor"), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), same("id"), same("row"), same("alone"), pa.array(start + np.arange(n))], names=["anchor", "h1", "h2", "id", "row", "alone", "s"])
+                back = batch.column("before")[i].as_py() - np.arange(n)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *map(same, ("anchor", "id", "row", "place", "n", "at", "strip")), pa.array(back)], names=["h1", "h2", "anchor", "id", "row", "place", "n", "at", "strip", "back"])
 
     return run
 
@@ -262,9 +303,10 @@ def _cut_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             text, want = texts[i].as_py() or b"", wanted[i].as_py()
             same = lambda c: c.take(pa.array(np.full(len(want), i)))
+            own = lambda c, kind=pa.int64(): pa.array([w[c] for w in want], kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w["anchor"] for w in want]), same(ids), same(rows), pa.array([w["place"] for w in want]), pa.array([w["before"] for w in want], pa.int32()), pa.array([w["alone"] for w in want]), pa.array([text[w["place"] - w["before"] : w["place"] - w["after"] + w["length"]] for w in want], pa.binary())],
-                names=["anchor", "id", "row", "place", "before", "alone", "bytes"],
+                [own("anchor"), same(ids), same(rows), own("place"), own("before", pa.int32()), own("n"), own("anchor"), own("strip"), pa.array([text[w["place"] - w["before"] : w["place"] - w["after"] + w["length"]] for w in want], pa.binary())],
+                names=["anchor", "id", "row", "place", "before", "n", "at", "strip", "bytes"],
             )
 
 
@@ -302,100 +344,159 @@ def _with_their(texts: DataFrame, named: DataFrame, how: str) -> DataFrame:
     return texts.join(small(named.select("_id", "_row"), BROADCAST_ROWS), same_document(), how)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(id, row, s, e): stretches of bytes, possibly overlapping, that together cover every byte of a repeated string.
+def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
-    ``row`` is the hash of the text. Null texts are empty. Rows that are equal in id and text repeat each other.
-    """
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    id_kind = texts.schema["id"].dataType.simpleString()
+
+def _anchored(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Strips whose anchor stands in several places (``same``: all alike), and of the unlike ones the kinds (anchor, strip, n, at)."""
     found = materialize(strips(texts, length, gram))
     keys = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("strip") == F.max("strip")).alias("same")).where("n > 1")
     keys = materialize(keys.select("anchor", "same"))
     met = materialize(found.join(keys, "anchor"))
-    whole = met.where("same")
+    kinds = met.where("not same").groupBy("anchor", "strip").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "place", "before", "after")).alias("at"))
+    return met, materialize(kinds)
+
+
+def _sorted_strips(texts: DataFrame, kinds: DataFrame, open_keys: DataFrame, length: int, gram: int, crowd: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """The kinds' bytes, sorted by anchor or by a narrower key, with at most ``crowd`` to a key; and those that are still more."""
+    cut = f"anchor long, id {kinds.schema['at'].dataType['id'].dataType.simpleString()}, row long, place long, before int, n long, at long, strip long, bytes binary"
+    want = F.struct("anchor", "strip", "at.place", "at.before", "at.after", "n", F.lit(length).alias("length"), "crowded")
+    asked = kinds.join(open_keys, "anchor").groupBy(F.col("at.id").alias("_id"), F.col("at.row").alias("_row")).agg(F.collect_list(want).alias("wanted"))
+    asked = materialize(asked)
+    held = _with_their(texts, asked, "left_semi").join(asked, same_document())
+    these = lambda crowded: held.select("id", "row", "text", F.filter("wanted", lambda w: w.crowded == F.lit(crowded)).alias("wanted")).where(F.size("wanted") > 0)
+    dealt = lambda df: df.repartition("anchor").sortWithinPartitions("anchor")
+    out = [dealt(map_arrow(these(False), _cut_strips, cut))]
+    if is_empty(open_keys.where("crowded")):
+        return out, None
+    narrower = _by_half(length, gram)
+    halves = materialize(map_arrow(these(True), lambda batches: narrower(_cut_strips(batches)), cut))
+    sizes = halves.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(sizes.select("anchor", (F.col("n") > crowd).alias("still")))
+    shared = halves.join(sizes, "anchor")
+    out.append(dealt(shared.where("not still").drop("still")))
+    return out, None if is_empty(sizes.where("still")) else shared.where("still").drop("still")
+
+
+def _strings(many: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Every string of the strips, and those (anchor, h1, h2) that stand in several under one narrower key."""
+    kind = many.schema["id"].dataType.simpleString()
+    strings = materialize(map_arrow(many, _by_string(length), f"h1 long, h2 long, anchor long, id {kind}, row long, place long, n long, at long, strip long, back long"))
+    return strings, materialize(strings.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times"))
+
 
-    # Of anchors with different strips, one place for each strip; strips that stand in several places repeat as a whole.
-    mixed = met.where("not same")
-    kinds = materialize(mixed.groupBy("anchor", "strip").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "place", "before", "after")).alias("at")))
-    again = kinds.where("n > 1").select("anchor", "strip")
-    direct = whole.select("id", "row", "place", "before", "after").union(mixed.join(again, ["anchor", "strip"], "left_semi").select("id", "row", "place", "before", "after"))
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(id, row, s, e): stretches of bytes, possibly overlapping, that together cover every byte of a repeated string.
+
+    ``row`` is the hash of the text. Null texts are empty. Rows that are equal in id and text repeat each other.
+    """
+    texts = _texts_of(docs, id_col, text_col)
+    met, kinds = _anchored(texts, length, gram)
+    # Strips that stand in several places repeat as a whole; the list of their kinds meets them without dealing them out.
+    again = small(kinds.where("n > 1").select("anchor", "strip"), BROADCAST_ROWS)
+    direct = met.where("same").select("id", "row", "place", "before", "after").union(met.where("not same").join(again, ["anchor", "strip"], "left_semi").select("id", "row", "place", "before", "after"))
     spans = direct.select("id", "row", (F.col("place") - F.col("before")).alias("s"), (F.col("place") - F.col("after") + length).alias("e"))
 
     open_keys = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("alone")).where("alone > 0")
     open_keys = materialize(open_keys.select("anchor", (F.col("kinds") > crowd).alias("crowded")))
-    wanted = kinds.join(open_keys, "anchor")
-    want = F.struct("anchor", "at.place", "at.before", "at.after", (F.col("n") == 1).alias("alone"), F.lit(length).alias("length"), "crowded")
-    asked = materialize(wanted.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list(want).alias("wanted")))
-    if is_empty(asked):
+    if is_empty(open_keys):
         return spans
-
-    asked = asked.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "wanted")
-    held = _with_their(texts, asked, "left_semi").join(asked, same_document())
-    cut = f"anchor long, id {id_kind}, row long, place long, before int, alone boolean, bytes binary"
-    these = lambda crowded: F.filter("wanted", lambda w: w.crowded == F.lit(crowded))
-    parted = held.select("id", "row", "text", these(False).alias("wanted")).where(F.size("wanted") > 0)
-    sorted_strips = map_arrow(parted, _cut_strips, cut).repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.union(map_arrow(sorted_strips, _by_tree(length, _arrow_type(id_kind)), f"id {id_kind}, row long, s long, e long"))
-    if not is_empty(open_keys.where("crowded")):
-        crowds = held.select("id", "row", "text", these(True).alias("wanted")).where(F.size("wanted") > 0)
-        narrower = _by_half(length, gram)
-        halves = materialize(map_arrow(crowds, lambda batches: narrower(_cut_strips(batches)), cut))
-        sizes = halves.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = materialize(sizes.select("anchor", (F.col("n") > crowd).alias("still")))
-        shared = halves.join(sizes, "anchor")
-        few = shared.where("not still").drop("still").repartition("anchor").sortWithinPartitions("anchor")
-        spans = spans.union(map_arrow(few, _by_tree(length, _arrow_type(id_kind)), f"id {id_kind}, row long, s long, e long"))
-        if not is_empty(sizes.where("still")):
-            many = shared.where("still").drop("still")
-            strings = materialize(map_arrow(many, _by_string(length), f"anchor long, h1 long, h2 long, id {id_kind}, row long, alone boolean, s long"))
-            repeated = materialize(strings.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-            hits = strings.where("alone").join(repeated, ["anchor", "h1", "h2"], "left_semi")
-            spans = spans.union(hits.select("id", "row", "s", (F.col("s") + length).alias("e")))
+    parts, many = _sorted_strips(texts, kinds, open_keys, length, gram, crowd)
+    kind = texts.schema["id"].dataType.simpleString()
+    for part in parts:
+        spans = spans.union(map_arrow(part, _by_tree(length), f"id {kind}, row long, s long, e long"))
+    if many is not None:
+        strings, repeated = _strings(many, length)
+        hits = strings.where("n = 1").join(small(repeated, BROADCAST_ROWS), ["anchor", "h1", "h2"], "left_semi").select("id", "row", (F.col("place") - F.col("back")).alias("s"))
+        spans = spans.union(hits.select("id", "row", "s", (F.col("s") + length).alias("e")))
     return spans
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "double": pa.float64()}[kind]
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """(grp, length, id, row, start): the maximal repeats around each anchor, with every occurrence of each.
 
-
-def _remove(with_text: bool):
+    A repeat is followed as far as the strips of its anchor reach; one that is longer goes on in the groups of the next
+    anchors. All of ``grp`` are equal strings of ``length`` bytes, and cannot all be extended by an equal byte within the
+    strips. Where half keys are crowded too, groups are strings of the least length, not extended. Null texts are empty;
+    rows that are equal in id and text repeat each other. Groups of near copies share members, so their rows can be many
+    more than the strips: take ``repeated_spans`` for removal.
+    """
+    texts = _texts_of(docs, id_col, text_col)
+    met, kinds = _anchored(texts, length, gram)
+    place = lambda df, back, n: df.select("grp", F.lit(n).cast("long").alias("length") if isinstance(n, int) else n.alias("length"), "id", "row", (F.col("place") - back).alias("start"))
+    found = place(met.where("same").withColumn("grp", F.xxhash64("anchor")), F.col("before"), (F.col("before") - F.col("after") + length).cast("long"))
+    open_keys = materialize(kinds.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded")))
+    if is_empty(open_keys):
+        return found
+    parts, many = _sorted_strips(texts, kinds, open_keys, length, gram, crowd)
+    held = [map_arrow(part, _groups_by_tree(length), "at long, grp long, strip long, back long, ahead long") for part in parts]
+    if many is not None:
+        strings, repeated = _strings(many, length)
+        own = strings.join(small(repeated, BROADCAST_ROWS), ["anchor", "h1", "h2"], "left_semi")
+        held.append(own.select("at", F.xxhash64("at", "h1", "h2").alias("grp"), "strip", "back", (length - F.col("back")).alias("ahead")))
+    groups = materialize(reduce(DataFrame.union, held).distinct())
+    at = groups.withColumnRenamed("at", "anchor").join(met.where("not same").select("anchor", "strip", "id", "row", "place"), ["anchor", "strip"])
+    return found.union(place(at, F.col("back"), F.col("back") + F.col("ahead")))
+
+
+def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that the spans cover; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _remove(with_text: bool, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(1).cast(pa.large_binary()), batch.column(2)
-            found: list[list] = [[], [], [], [], []]
+            texts, spans, near = batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3)
+            found: list[list] = [[], [], [], [], [], []]
             for i in range(batch.num_rows):
-                text = texts[i].as_py() or b""
-                kept, at, gone, n, end = [], 0, 0, 0, -1
-                for s, e in sorted((x["s"], x["e"]) for x in spans[i].as_py() or ()):
-                    if s > end:
-                        kept.append(text[at:s])
-                        n, start = n + 1, s
-                    else:
-                        start = end
-                    if e > end:
-                        gone += e - start
-                        end = at = e
+                text, runs = texts[i].as_py() or b"", _merged(spans[i].as_py())
+                kept, at = [], 0
+                for s, e in runs:
+                    kept.append(text[at:s])
+                    at = e
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                for column, v in zip(found, (len(text), gone, n, hashlib.sha256(rest).hexdigest(), rest if with_text else None)):
+                passages = sum(len(text[s:e].split()) >= words for s, e in _merged(near[i].as_py()))
+                for column, v in zip(found, (len(text), len(text) - len(rest), len(runs), passages, hashlib.sha256(rest).hexdigest(), rest if with_text else None)):
                     column.append(v)
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in found[:3]), pa.array(found[3], pa.string()), pa.array(found[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in found[:4]), pa.array(found[4], pa.string()), pa.array(found[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept_sha256", "kept"])
 
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary): each row's text without its repeated bytes.
+def _by_document(spans: DataFrame, name: str) -> DataFrame:
+    return materialize(spans.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("s", "e")).alias(name)))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True, passage: tuple[int, int] = PASSAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, n_passages, kept_sha256, kept binary): each row's text without its repeated bytes.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same document too. Matches
     never cross documents. Null texts are empty; a row for each row. ``kept`` is null if the texts are not asked for.
+    ``n_passages`` counts the runs of bytes in shorter repeated strings, of ``passage[0]`` bytes, that hold at least
+    ``passage_words`` words: text to look at that is too short to be removed. Only documents that hold such strings can
+    hold the longer ones, so only they are searched for those.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram, crowd)
-    by_doc = materialize(spans.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    whole = _with_their(texts, by_doc, "left_anti").select("id", "text", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"))
-    joined = whole.union(_with_their(texts, by_doc, "left_semi").join(by_doc, same_document()).select("id", "text", "spans"))
+    if passage[0] > length:
+        raise ValueError("passages are the shorter strings")
+    texts = _texts_of(docs, id_col, text_col)
+    near = _by_document(repeated_spans(texts, "id", "text", *passage, crowd), "near")
+    some = _with_their(texts, near, "left_semi").select("id", "text")
+    spans = _by_document(repeated_spans(some, "id", "text", length, gram, crowd), "spans")
+    both = near.join(spans.withColumnsRenamed({"_id": "_id2", "_row": "_row2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
+    both = materialize(both.select("_id", "_row", "spans", "near"))
+    none = F.lit(None).cast(both.schema["spans"].dataType)
+    whole = _with_their(texts, near, "left_anti").select("id", "text", none.alias("spans"), none.alias("near"))
+    joined = whole.union(_with_their(texts, near, "left_semi").join(both, same_document()).select("id", "text", "spans", "near"))
     kind = texts.schema["id"].dataType.simpleString()
-    return map_arrow(joined.select("id", "text", "spans"), _remove(with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_arrow(joined, _remove(with_text, passage_words), f"id {kind}, n_bytes long, n_removed long, n_spans long, n_passages long, kept_sha256 string, kept binary")

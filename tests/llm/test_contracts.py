@@ -220,10 +220,60 @@ def plain_repeats(texts, length):
         yield i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
+def plain_cover(raw, length):
+    count = Counter(b[j : j + length] for b in raw for j in range(len(b) - length + 1))
+    for b in raw:
+        gone = np.zeros(len(b) + 1, dtype=int)
+        for j in range(len(b) - length + 1):
+            if count[b[j : j + length]] > 1:
+                gone[j] += 1
+                gone[j + length] -= 1
+        yield np.concatenate([[0], (np.cumsum(gone)[: len(b)] > 0).astype(int), [0]])
+
+
 @pytest.mark.parametrize("length,gram,crowd", [(400, 160, 4096), (60, 24, 4096), (60, 40, 2)])
 def test_repeats(docs, length, gram, crowd):
-    got = repeats.without_repeats(docs, length=length, gram=gram, crowd=crowd)
-    assert as_set(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(plain_repeats(hostile(), length))
+    passage = (length * 5 // 8, gram * 5 // 8)
+    got = repeats.without_repeats(docs, length=length, gram=gram, crowd=crowd, passage=passage, passage_words=6)
+    raw = [(t or "").encode() for _, t in hostile()]
+    passages = [sum(len(b[s:e].split()) >= 6 for s, e in zip(np.flatnonzero(np.diff(c) == 1), np.flatnonzero(np.diff(c) == -1))) for b, c in zip(raw, plain_cover(raw, passage[0]))]
+    want = Counter((*row[:4], n, row[4]) for row, n in zip(plain_repeats(hostile(), length), passages))
+    assert as_set(got, "id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept_sha256") == want
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,0)", "date", "string"])
+def test_repeats_of_other_ids(spark, kind):
+    base = "".join(random.Random(1).choice("abcdef ") for _ in range(900))
+    ids = {"decimal(10,0)": "id", "date": "date_add('2020-01-01', cast(id as int))", "string": "id"}[kind]
+    df = spark.createDataFrame([(i, x + base[i * 40 :]) for i, x in enumerate(("", "other", "third", "x"))], "id long, text string").select(F.expr(f"cast({ids} as {kind})").alias("doc_id"), "text")
+    got = repeats.without_repeats(df, with_text=False)
+    assert got.schema["id"].dataType.simpleString() == kind and got.where("n_removed > 700").count() == 4
+    assert repeats.without_repeats(df.limit(0)).count() == repeats.repeat_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_repeat_groups_hold_all_occurrences(docs, crowd):
+    length = 60
+    raw = Counter((i, (t or "").encode()) for i, t in hostile())
+    found, covered = {}, set()
+    texts = {}
+    for i, t in hostile():
+        texts.setdefault(i, []).append((t or "").encode())
+    for r in repeats.repeat_groups(docs, length=length, gram=40, crowd=crowd).join(docs.select(F.col("doc_id").alias("_i"), F.col("text").alias("_t"), F.xxhash64("text").alias("_r")).distinct(), F.expr("id <=> _i and row = _r")).collect():
+        own = (r._t or "").encode()[r.start : r.start + r.length]
+        assert len(own) == r.length >= length
+        found.setdefault(r.grp, (own, []))[1].append((r.id, r.row, r.start))
+        assert found[r.grp][0] == own
+        covered.update((r.id, r.row, p) for p in range(r.start, r.start + r.length))
+    places = Counter()
+    for (i, b), n in raw.items():
+        for j in range(len(b) - length + 1):
+            places[b[j : j + length]] += n
+    for own, at in found.values():
+        # No occurrence is missing; groups share their strings with others that extend them, so a group's own may be more.
+        assert len(at) > 1 and (len(own) > length or crowd == 2 or len(at) == places[own])
+    want = {(i, x, p) for (i, t), c in zip(hostile(), plain_cover([(t or "").encode() for _, t in hostile()], length)) for x in [t] for p in np.flatnonzero(c[1:])}
+    assert len({(i, p) for i, _, p in covered}) == len({(i, p) for i, _, p in want})
 
 
 def test_repeat_groups_are_maximal_and_whole():
@@ -240,6 +290,8 @@ def test_repeat_groups_are_maximal_and_whole():
                 members = [k for k in range(len(before)) if same(before[k][::-1], before[i][::-1]) >= back and same(after[k], after[i]) >= on]
                 want.add((back, on, tuple(members)))
     assert got == want
+    counted = repeats.Tree(list(before), list(after), [2] + [1] * (len(before) - 1)).groups(9)
+    assert {(back, on, tuple(m.tolist())) for back, on, m in counted} - want == {(6, 12, (0,))}
 
 
 def test_long_documents_go_in_slices(monkeypatch):
