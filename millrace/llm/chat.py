@@ -4,15 +4,16 @@ A visitor flattens the parts of each turn in order: text is escaped, and image,
 numbered placeholders whose attachment reference and expanded token count are recorded beside the text. Turns are set
 between control strings, all of which begin with ``<|``. DataFrame functions only.
 
-Escaping: a backslash becomes ``\\s`` and ``<|`` becomes ``\\l|``. Escaped text holds no control string, and every
-backslash in it begins one of the two pairs, so undoing ``\\l`` and then ``\\s`` gives the text back.
+Escaping: a backslash becomes ``\\s`` and ``<`` becomes ``\\l``. Escaped text holds no ``<``, so no control string can stand
+in it, nor come about where the texts of two parts meet; every backslash in it begins one of the two pairs, so undoing
+``\\l`` and then ``\\s`` gives the text back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
@@ -20,7 +21,7 @@ PART = "struct<kind:string,text:string,ref:string,n_tokens:long>"
 
 
 def escape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\s")), F.lit("<|"), F.lit("\\l|"))
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
 def unescape(c: Column) -> Column:
@@ -62,47 +63,62 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     table gives no row. The conversation is the unit of output, so its turns meet in one row.
     """
     clean = rows.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts")).alias("t"),
-    )
-    talks = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # Attachments are numbered over the conversation: each turn begins at the number that those before it have used.
-    counted = F.transform("turns", lambda t: F.size(F.filter(t.parts, is_attachment)))
-    first = F.aggregate(counted, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    talks = talks.withColumn("has", F.exists("turns", lambda t: F.exists(t.parts, is_attachment)))
-    talks = talks.withColumn("first", F.when(F.col("has"), first))
-
-    def said(t: Column, i: Column) -> Column:
-        number = lambda j: F.coalesce(F.get("first", i), F.lit(0)) + F.when(F.col("has"), F.size(F.filter(F.slice(t.parts, 1, j), is_attachment))).otherwise(0)
-        return F.array_join(F.transform(t.parts, lambda p, j: visit(p, number(j))), "")
-
-    pieces = F.transform("turns", lambda t, i: F.struct(t.role.alias("role"), F.concat(F.lit(TURN), escape(t.role), F.lit(SAYS)).alias("head"), said(t, i).alias("said")))
-    talks = talks.withColumn("pieces", pieces)
-    # The places follow from the lengths; turns are summed up in order.
-    lengths = F.transform("pieces", lambda p: F.struct((p.role == trained).alias("on"), F.length(p.head).cast("long").alias("head"), F.length(p.said).cast("long").alias("said")))
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:long,n:long>>").alias("spans"))
-
-    def step(a: Column, p: Column) -> Column:
-        here = F.array(F.struct((a.at + p.head).alias("at"), p.said.alias("n")))
-        return F.struct((a.at + p.head + p.said + len(END)).alias("at"), F.when(p.on, F.concat(a.spans, here)).otherwise(a.spans).alias("spans"))
-
-    attachments = F.flatten(F.transform("turns", lambda t, i: F.transform(F.filter(t.parts, is_attachment), lambda p, j: F.struct((F.get("first", i) + j).cast("long").alias("n"), t.turn.cast("long").alias("turn"), p.kind.alias("kind"), p.ref.alias("ref"), F.coalesce(p.n_tokens, F.lit(0)).cast("long").alias("n_tokens")))))
+        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"),
+    )
+    # Attachments and characters before a turn are running sums, so a conversation's cost follows its length.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    counted = clean.withColumn("no", F.row_number().over(order)).withColumn("first", before(F.size(F.filter("parts", is_attachment))))
+    number = lambda j: F.col("first") + F.size(F.filter(F.slice("parts", 1, j), is_attachment))
+    plain = F.array_join(F.transform("parts", lambda p: VISITORS["text"](p, F.lit(0))), "")
+    typed = F.array_join(F.transform("parts", lambda p, j: visit(p, number(j))), "")
+    said = counted.withColumn("said", F.when(F.exists("parts", is_attachment), typed).otherwise(plain)).withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)))
+    placed = said.withColumn("at", before(F.length("head") + F.length("said") + len(END)))
+    attached = F.transform(F.filter("parts", is_attachment), lambda p, j: F.struct((F.col("first") + j).cast("long").alias("n"), F.col("turn").cast("long").alias("turn"), p.kind.alias("kind"), p.ref.alias("ref"), F.coalesce(p.n_tokens, F.lit(0)).cast("long").alias("n_tokens")))
+    piece = F.struct("no", F.concat("head", "said", F.lit(END)).alias("piece"), (F.col("role") == trained).alias("on"), (F.col("at") + F.length("head") + 1).alias("at"), F.length("said").cast("long").alias("n"), attached.alias("attached"))
+    talks = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     return talks.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.said, F.lit(END))), "").alias("formatted"),
-        F.aggregate(lengths, start, step, lambda a: a.spans).alias("loss"),
-        attachments.alias("attachments"),
+        F.array_join(F.transform("pieces", lambda p: p.piece), "").alias("formatted"),
+        F.transform(F.filter("pieces", lambda p: p.on), lambda p: F.struct(p.at.alias("at"), p.n.alias("n"))).alias("loss"),
+        F.flatten(F.transform("pieces", lambda p: p.attached)).alias("attachments"),
     ).withColumn("n_expanded", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x.n_tokens))
 
 
+#: A place between an attachment's placeholder and what stands beside it.
+_BESIDE = "(?=<\\|)|(?<=<\\|(?:image|audio|document):[0-9]{1,9}\\|>)"
+
+
+def _read_parts(said: Column) -> Column:
+    """array<struct<kind, text, n>>: texts unescaped, attachments by their number; texts that met are one."""
+    is_mark = lambda x: x.startswith("<|")
+
+    def part(x: Column) -> Column:
+        kind = F.when(is_mark(x), F.regexp_extract(x, "^<\\|([a-z]+):", 1)).otherwise("text")
+        number = F.when(is_mark(x), F.regexp_extract(x, ":([0-9]+)\\|>$", 1).cast("long"))
+        return F.struct(kind.alias("kind"), F.when(~is_mark(x), unescape(x)).alias("text"), number.alias("n"))
+
+    return F.transform(F.filter(F.split(said, _BESIDE), lambda x: x != ""), part)
+
+
+def _text_of(parts: Column) -> Column:
+    return F.array_join(F.transform(F.filter(parts, lambda p: p.kind == "text"), lambda p: p.text), "")
+
+
 def read_turns(formatted: Column) -> Column:
-    """array<struct<role, text>> of a formatted conversation; placeholders stay in the text as they are."""
+    """array<struct<role, text, parts>> of a formatted conversation.
+
+    ``text`` is what was said without attachments; ``parts`` has both in order, so that a text which looks like a
+    placeholder and a placeholder are told apart.
+    """
     # Each turn but the last is followed by the next one's mark; no control string can stand inside a text.
     turns = F.filter(F.split(formatted, "<\\|turn\\|>"), lambda x: x != "")
     cut = lambda x: F.split(F.left(x, F.length(x) - len(END)), "<\\|says\\|>")
-    return F.transform(F.transform(turns, cut), lambda x: F.struct(unescape(F.element_at(x, 1)).alias("role"), unescape(F.element_at(x, 2)).alias("text")))
+    read = F.transform(F.transform(turns, cut), lambda x: F.struct(unescape(F.element_at(x, 1)).alias("role"), _read_parts(F.element_at(x, 2)).alias("parts")))
+    return F.transform(read, lambda t: F.struct(t.role.alias("role"), _text_of(t.parts).alias("text"), t.parts.alias("parts")))
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """The unescaped texts under the loss mask, joined."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s.at.cast("int"), s.n.cast("int")))), "")
+    """The unescaped texts under the loss mask, joined; attachments are left out."""
+    return F.array_join(F.transform(loss, lambda s: _text_of(_read_parts(F.substring(formatted, s.at.cast("int"), s.n.cast("int"))))), "")

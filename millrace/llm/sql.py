@@ -39,7 +39,7 @@ s as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
  coalesce(n_hit, 0) > 0 as contaminated from d left join p using (doc_id) left join s using (doc_id)"""
 
-ESCAPED = r"replace(replace({}, '\', '\s'), '<|', '\l|')"
+ESCAPED = r"replace(replace({}, '\', '\s'), '<', '\l')"
 
 OP10 = rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -199,6 +199,17 @@ def test_contamination(spark, docs):
     assert clean.columns == docs.columns
     assert clean.count() == sum(1 for r in plain_contamination(hostile(), items) if not r[2])
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontam.contamination(docs.limit(0), bench).count() == decontam.remove_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_contamination_of_a_very_long_text_by_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(60_000)]
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words[i * 100 : i * 100 + 40])) for i in range(0, 600, 2)], "item_id long, text string")
+    got = {r.id: (r.n_words, r.n_hit, len(r["items"])) for r in decontam.contamination(df, bench).collect()}
+    assert got == {1: (60_000, 300 * 40, 300), 2: (3, 0, 0)}
 
 
 # Repeats
@@ -573,13 +584,49 @@ def test_chat_parts_become_placeholders(spark):
     part = lambda kind, text=None, ref=None, n=None: (kind, text, ref, n)
     turns = [(1, 0, "user", [part("text", "see"), part("image", ref="s3://a", n=256), part("text", "<|image:0|>"), part("audio", ref="b", n=40)]), (1, 1, "assistant", [part("text", "ok"), part("document", ref="c")]), (1, 2, "user", None), (1, 3, "user", [part("other", "kept")])]
     df = spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
-    row = chat.format_chats(df).first()
+    out = chat.format_chats(df)
+    row = out.first()
     assert row.formatted == "<|turn|>user<|says|>see<|image:0|>\\l|image:0|><|audio:1|><|end|><|turn|>assistant<|says|>ok<|document:2|><|end|><|turn|>user<|says|><|end|><|turn|>user<|says|>kept<|end|>"
     assert [(a.n, a.turn, a.kind, a.ref, a.n_tokens) for a in row.attachments] == [(0, 0, "image", "s3://a", 256), (1, 0, "audio", "b", 40), (2, 1, "document", "c", 0)]
     assert row.n_expanded == 296
+    read = out.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("lost")).first()
+    assert [tuple(p) for p in read.t[0].parts] == [("text", "see", None), ("image", None, 0), ("text", "<|image:0|>", None), ("audio", None, 1)]
+    assert [t.text for t in read.t] == ["see<|image:0|>", "ok", "", "kept"] and read.lost == "ok"
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_parts_cannot_forge_control_strings(spark):
+    rng, marks = random.Random(4), ["<", "|", "\\", "|turn|>", "<|end|>", "a<", "l|", "s", "image:0|>", "|says|>x", "<|image:1|>", "\n"]
+    chats = []
+    for c in range(150):
+        for t in range(rng.randint(1, 3)):
+            parts = [(rng.choice(["text", "text", "text", "image", "audio", "document", None]), "".join(rng.choices(marks, k=rng.randint(0, 3))), "r", 1) for _ in range(rng.randint(0, 5))]
+            chats.append((c, t, rng.choice(["user", "assistant", "a<|says|>"]), parts))
+    df = spark.createDataFrame(chats, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {r.conv_id: r for r in chat.format_chats(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("lost")).collect()}
+    for c in range(150):
+        want, n = [], 0
+        for _, _, role, parts in (x for x in chats if x[0] == c):
+            flat = []
+            for kind, text, *_ in parts:
+                if kind in ("image", "audio", "document"):
+                    flat.append((kind, None, n))
+                    n += 1
+                elif flat and flat[-1][0] == "text":
+                    flat[-1] = ("text", flat[-1][1] + text, None)
+                elif text:
+                    flat.append(("text", text, None))
+            want.append((role, [f for f in flat if f[1] != ""]))
+        assert [(t.role, [tuple(p) for p in t.parts]) for t in got[c].turns] == want
+        assert got[c].lost == "".join(p[1] for role, parts in want if role == "assistant" for p in parts if p[0] == "text")
+
+
+def test_a_conversation_of_many_turns(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.text_part(F.concat(F.lit("said <"), F.col("id").cast("string"))).alias("parts"))
+    row = chat.format_chats(df).select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("lost")).first()
+    assert row.n == 20_000 and row.lost == "".join(f"said <{i}" for i in range(1, 20_000, 2))
+
+
 # Queries and pipeline
 
 
