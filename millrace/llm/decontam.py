@@ -8,6 +8,8 @@ equal words is at least a window long. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,22 @@ def word_hashes(words: Column) -> Column:
 
 
 def chosen(grams: Column, span: int) -> Column:
-    """The least gram of each ``span`` consecutive ones, each once. With fewer, the least of all."""
+    """Where the least gram of each ``span`` consecutive ones stands, the first if several are equal; each place once.
+    With fewer grams, the least of all."""
 
     def of(g: Column) -> Column:
         starts = F.when(F.size(g) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g) - (span - 1))))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(g, i, span))))
+        at = lambda i, part: (i - 1 + F.array_position(part, F.array_min(part))).cast("int")
+        return F.array_distinct(F.transform(starts, lambda i: at(i, F.slice(g, i, span))))
 
     return let(grams, of)
 
 
+def marks_of(hashes: Column, k: int, span: int) -> Column:
+    """array<struct<mark, at>>: the chosen grams and the places of their first words."""
+    return let(_grams(hashes, k), lambda g: F.transform(chosen(g, span), lambda i: F.struct(F.element_at(g, i).alias("mark"), i.alias("at"))))
+
+
 def items_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, words lower-cased, n): each item with words once, however often its row stands there."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.transform(words_of(F.col(text_col)), ascii_lower).alias("item_words"))
@@ -65,45 +74,59 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     looked for whole: their one gram is hashed at their own length. Nulls have no words.
     """
     items = materialize(items_of(benchmark, item_col, item_text, window))
-    span = window - k + 1
-    long_items = items.where(F.size("item_words") >= window).withColumn("grams", _grams(word_hashes(F.col("item_words")), k))
-    # All places of a chosen gram in an item, so that the document's place is compared with each.
-    marks = long_items.select("item_id", "item_words", "grams", F.explode(chosen(F.col("grams"), span)).alias("mark"))
-    places = marks.select("item_id", "item_words", "mark", F.explode(F.filter(F.transform("grams", lambda g, i: F.when(g == F.col("mark"), i + 1)), lambda x: x.isNotNull())).alias("at"))
-    context = F.slice("item_words", F.greatest(F.lit(1), F.col("at") - (window - k)), F.col("at") + window - F.greatest(F.lit(1), F.col("at") - (window - k)))
-    index = materialize(places.select("mark", "item_id", F.least(F.col("at") - 1, F.lit(window - k)).alias("item_left"), context.alias("item_context")))
+    span, ahead = window - k + 1, window - k
+    # Two equal windows choose the gram at the same place of both, so the chosen places of either side are enough.
+    marks = items.where(F.size("item_words") >= window).select("item_id", "item_words", F.inline(marks_of(word_hashes(F.col("item_words")), k, span)))
+    index = materialize(marks.select("mark", "item_id", *_context(F.col("item_words"), F.col("at"), ahead, window, "item_")))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = texts.select("id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("words"))
-    hashed = read.withColumn("grams", _grams(word_hashes(F.col("words")), k))
-    met = hashed.withColumn("mark", F.explode(chosen(F.col("grams"), span))).join(small(index, BROADCAST_ROWS), "mark")
-    found = met.select(
-        "id", "row", "item_id", "item_left", "item_context", "words",
-        F.explode(F.filter(F.transform("grams", lambda g, i: F.when(g == F.col("mark"), i + 1)), lambda x: x.isNotNull())).alias("at"),
-    )
-    left = F.least(F.col("at") - 1, F.lit(window - k))
-    found = found.select("id", "row", "item_id", "at", "item_left", "item_context", left.alias("left"), F.transform(F.slice("words", F.col("at") - left, left + window), ascii_lower).alias("context"))
+    texts = texts.select("id", F.xxhash64("text").alias("row"), "text")
+    # Only names and places meet the index; a document's words are fetched once, for the places that were found.
+    places = texts.select("id", "row", F.inline(marks_of(word_hashes(words_of(F.col("text"))), k, span)))
+    met = places.join(small(index.select("mark").distinct(), BROADCAST_ROWS), "mark", "left_semi").select("id", "row", "at", F.lit(window).alias("n"))
+    found = _said_at(texts, met, lambda words, a: F.struct(a.at.alias("at"), *_context(words, a.at, ahead, window)))
+    found = found.withColumn("mark", F.xxhash64(word_hashes(F.slice("context", F.col("left") + 1, F.lit(k))))).join(small(index, BROADCAST_ROWS), "mark")
     # Step by step away from the gram: how many words stay equal on each side, and the gram itself, word for word.
     same = lambda d: F.get("context", F.col("left") + d) == F.get("item_context", F.col("item_left") + d)
     gram = F.forall(F.sequence(F.lit(0), F.lit(k - 1)), lambda d: F.coalesce(same(d), F.lit(False)))
     reach = lambda steps: F.aggregate(steps, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, d: F.when(a.on & F.coalesce(same(d), F.lit(False)), F.struct((a.n + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a.n.alias("n"), F.lit(False).alias("on"))), lambda a: a.n)
     inside = lambda d: (F.col("left") + d >= 0) & (F.col("item_left") + d >= 0)
-    before = F.filter(F.sequence(F.lit(-1), F.lit(k - window), F.lit(-1)), inside)
-    runs = found.where(gram).select("id", "row", "item_id", "at", reach(before).alias("l"), reach(F.sequence(F.lit(k), F.lit(window - 1))).alias("r"))
+    back = F.filter(F.sequence(F.lit(-1), F.lit(k - window), F.lit(-1)), inside)
+    runs = found.where(gram).select("id", "row", "item_id", "at", reach(back).alias("l"), reach(F.sequence(F.lit(k), F.lit(window - 1))).alias("r"))
     spans = runs.where(F.col("l") + F.col("r") + k >= window).select("id", "row", "item_id", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + k + F.col("r")).alias("e"))
 
     short = items.where(F.size("item_words") < window).select("item_id", "item_words", F.size("item_words").alias("n"))
     short = materialize(short.select("item_id", "item_words", "n", F.xxhash64(word_hashes(F.col("item_words"))).alias("mark")))
     lengths = [r.n for r in short.select("n").distinct().orderBy("n").collect()]  # fewer than a window of them
     if lengths:
-        keys = F.flatten(F.array(*[F.transform(_grams(F.col("hashes"), n), lambda g, i: F.struct(g.alias("mark"), (i + 1).alias("at"), F.lit(n).alias("n"))) for n in lengths]))
-        grams = read.withColumn("hashes", word_hashes(F.col("words"))).withColumn("key", F.explode(keys))
-        whole = grams.select("id", "row", "words", "key.*").join(small(short, BROADCAST_ROWS), ["mark", "n"])
-        whole = whole.where(F.transform(F.slice("words", F.col("at"), F.col("n")), ascii_lower) == F.col("item_words"))
+        keyed = lambda n: F.transform(_grams(F.col("hashes"), n), lambda g, i: F.struct(g.alias("mark"), (i + 1).alias("at"), F.lit(n).alias("n")))
+        keys = F.flatten(F.array(*map(keyed, lengths)))
+        grams = texts.select("id", "row", word_hashes(words_of(F.col("text"))).alias("hashes")).select("id", "row", F.inline(keys))
+        met = grams.join(small(short.select("mark", "n").distinct(), BROADCAST_ROWS), ["mark", "n"], "left_semi").select("id", "row", "at", "n")
+        said = _said_at(texts, met, lambda words, a: F.struct(a.at.alias("at"), F.transform(F.slice(words, a.at, a.n), ascii_lower).alias("item_words")))
+        whole = said.join(small(short, BROADCAST_ROWS), "item_words")
         spans = spans.union(whole.select("id", "row", "item_id", F.col("at").alias("s"), (F.col("at") + F.col("n")).alias("e")))
     return spans.distinct()
 
 
+def _context(words: Column, at: Column, ahead: int, window: int, name: str = "") -> list[Column]:
+    """The lower-cased words around a gram that one window over it can reach, and how many of them stand before it."""
+    left = F.least(at - 1, F.lit(ahead))
+    return [left.alias(f"{name}left"), F.transform(F.slice(words, at - left, left + window), ascii_lower).alias(f"{name}context")]
+
+
+def _said_at(texts: DataFrame, met: DataFrame, of: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, row, fields of what ``of`` makes of the document's words and a place) for each found place (id, row, at, n).
+
+    Only documents with such places are read again, and what is made of a place is a few words, so that long documents
+    with many places stay in proportion.
+    """
+    asked = materialize(met.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "n")).alias("asked")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+    held = texts.join(small(asked.select("_id", "_row"), BROADCAST_ROWS), same, "left_semi").join(asked, same)
+    return held.select("id", "row", F.inline(let(words_of(F.col("text")), lambda words: F.transform("asked", lambda a: of(words, a)))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """(id, n_words, n_hit, items array<string>): the words that stand in a run shared with an item, and those items.
 
