@@ -98,11 +98,16 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """
     rows = measure(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
     flat = rows.select(F.col("_id").alias("id"), "_words.*", "_lines.*", "_chars.*").select("id", *MEASURES)
+    return flat.withColumn("failed", failed_bits(rules))
+
+
+def failed_bits(rules: tuple[Rule, ...] = RULES) -> Column:
+    """The failure bits of a row with the measurements; at most 63 rules."""
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return flat.withColumn("failed", failed)
+    return failed
 
 
 def mask_of(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
@@ -133,9 +138,8 @@ def ablation(entries: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rul
 
 
 def keep_by_policy(docs: DataFrame, policy: str = "2026-11", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs, with all their columns, that pass the policy."""
+    """The rows of docs, with all their columns, that pass the policy by the ledger's failure bits."""
     columns = docs.columns
     rows = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text_col).alias("_text")), "_text")
     flat = rows.select("_row", "_words.*", "_lines.*", "_chars.*")
-    failing = " or ".join(f"({r.fails})" for i, r in enumerate(rules) if mask_of(policy, rules) >> i & 1)
-    return flat.where(f"not ({failing})").select("_row.*")
+    return flat.withColumn("_failed", failed_bits(rules)).where(passes(policy, "_failed", rules)).select("_row.*")
