@@ -10,8 +10,12 @@ from millrace.llm import chat, decontam, linedup, mixing, pseudonym, quality, re
 from millrace.llm.common import table
 
 
+#: Target shares of the mixture; what is not named divides the rest in its natural proportion.
+MIX = {"_source": {"src0": 0.2, "src1": 0.08}, "_lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "_topic": {"prose": 0.7}}
+
+
 def op1_rake_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixture(table(spark, sf_dir, "documents"))
+    rows = mixing.mixture(table(spark, sf_dir, "documents"), targets=MIX, tolerance=1e-13)
     return rows.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 

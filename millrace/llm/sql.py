@@ -3,7 +3,7 @@ strings, edit links and keyed permutations are held against brute force in the t
 
 from __future__ import annotations
 
-from millrace.llm import mixing
+from millrace.llm import mixing, queries
 
 SPACE = r"[\x20\x09-\x0D]"
 WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '')"
@@ -50,24 +50,26 @@ g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) ||
 select conv_id, n_turns, turns_sha256, cast(length(lost) as bigint) as loss_chars, sha256(lost) as loss_sha256, formatted_chars from g"""
 
 
-def rake_sql(rounds: int = mixing.ROUNDS, smoothing: float = mixing.SMOOTHING, keep: float = mixing.KEEP) -> str:
-    """The fits written out one after the other."""
-    steps = []
-    for i in range(rounds):
-        for j, dim in enumerate(("source", "lang", "topic")):
-            last = f"w{i * 3 + j}" if i + j else "w0"
-            steps.append(f"w{i * 3 + j + 1} as materialized (select * replace (w * coalesce(g_{dim} / nullif(sum(w) over (partition by {dim}), 0), 0) as w) from {last})")
-    shares = ", ".join(f"power(sum(tokens) over (partition by {d}) / total, {smoothing}) as r_{d}" for d in ("source", "lang", "topic"))
-    goals = ", ".join(f"r_{d} / (select sum(r) from (select distinct {d}, r_{d} as r from shares)) as g_{d}" for d in ("source", "lang", "topic"))
+def rake_sql(rounds: int = 80, keep: float = mixing.KEEP) -> str:
+    """A round of fits at a time, as many as bring the shares to their targets."""
+    dims = ("source", "lang", "topic")
+    fit = "r where i < {}".format(rounds)
+    for d in dims:
+        fit = f"(select * replace (w * coalesce(g_{d} / nullif(sum(w) over (partition by {d}), 0), 0) as w) from {fit})"
+    given = {d: ", ".join(f"('{k}', {v})" for k, v in queries.MIX[f"_{d}"].items()) for d in dims}
+    shares = [f"s_{d} as (select {d} as k, sum(tokens) / any_value(total) as share, any_value(v) as v from totals left join (values {given[d]}) t(k, v) on {d} = k group by 1)" for d in dims]
+    goals = [f"r_{d} as (select k, coalesce(v, (select greatest(0, 1 - coalesce(sum(v), 0)) from s_{d}) * share / (select sum(share) from s_{d} where v is null)) as r from s_{d}), g_{d} as materialized (select k, r / (select sum(r) from r_{d}) as g from r_{d})" for d in dims]
+    joined = " ".join(f"join g_{d} on {d} is not distinct from g_{d}.k" for d in dims)
+    dense = lambda marks, times: f"{times} * (length(text) - length(translate(text, '{marks}', ''))) > length(text)"
     return f"""
-with t as (select doc_id, source, lang, case when text like '% | %' then 'table' when text like '%@%' then 'contact' when text like '%"%' then 'quoted'
-  when regexp_matches(text, '[0-9]{{3}}') then 'numbers' else 'prose' end as topic, cast(len({WORDS}) as bigint) as n_tokens from documents),
+with recursive t as (select doc_id, source, lang, case when {dense("|", 40)} then 'table' when {dense("@", 400)} then 'contact' when {dense("0123456789", 20)} then 'numbers'
+  when {dense("!", 100)} then 'exclaimed' else 'prose' end as topic, cast(len({WORDS}) as bigint) as n_tokens from documents),
 cells as materialized (select source, lang, topic, cast(sum(n_tokens) as double) as tokens from t group by 1, 2, 3),
-totals as (select *, sum(tokens) over () as total from cells),
-shares as materialized (select *, {shares} from totals),
-w0 as materialized (select *, {goals}, tokens / total as w from shares),
-{", ".join(steps)},
-f as materialized (select *, case when tokens > 0 then w / (tokens / total) else 0 end as weight from w{rounds * 3}),
+totals as materialized (select *, sum(tokens) over () as total from cells),
+{", ".join(shares)}, {", ".join(goals)},
+w0 as materialized (select totals.*, g_source.g as g_source, g_lang.g as g_lang, g_topic.g as g_topic, tokens / total as w from totals {joined}),
+r as (select 0 as i, * from w0 union all select * replace (i + 1 as i) from {fit}),
+f as materialized (select *, case when tokens > 0 then w / (tokens / total) else 0 end as weight from r where i = {rounds}),
 o as (select *, coalesce(sum(tokens) over (order by weight desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as filled,
   sum(tokens * weight) over (order by weight desc, source, lang, topic rows between current row and unbounded following) as rest from f),
 s as (select arg_max((({keep} * total - filled) / rest), weight) filter (where (({keep} * total - filled) / rest) * weight <= 1) as first_scale from o where rest > 0),

@@ -546,16 +546,37 @@ def test_descent_solves_the_dual():
 # Mixing
 
 
-def test_raking_meets_its_marginals(spark):
+@pytest.mark.parametrize("bound", [100, 1])
+def test_raking_meets_its_marginals(spark, bound):
     cells = spark.createDataFrame([(s, g, t, 10 * (i + 1)) for i, (s, g, t) in enumerate((s, g, t) for s in ("a", "b", None) for g in ("x", "y") for t in ("p", "q"))], "s string, g string, t string, tokens long")
     targets = {"s": {"a": 0.5, "b": 0.3}, "g": {"x": 0.6, "y": 0.4}, "t": {"p": 0.5, "q": 0.5}}
-    for bound in (100, 1):
-        got = mixing.cell_probabilities(cells, ["s", "g", "t"], targets, keep=0.4, rounds=30, max_cells=bound).toPandas()
-        mass = got.tokens * got.weight
-        assert abs(mass[got.s == "a"].sum() / mass.sum() - 0.5) < 1e-6
-        assert abs(mass[got.s.isna()].sum() / mass.sum() - 0.2) < 1e-6
-        assert abs(mass[got.g == "x"].sum() / mass.sum() - 0.6) < 1e-6
-        assert abs((got.tokens * got.probability).sum() / got.tokens.sum() - 0.4) < 1e-6
+    got = mixing.cell_probabilities(cells, ["s", "g", "t"], targets, keep=0.4, max_cells=bound)
+    for r in mixing.marginals(got, ["s", "g", "t"], targets).collect():
+        assert abs(r.share - (0.2 if r.category is None else r.target)) < 1e-6
+    got = got.toPandas()
+    assert abs((got.tokens * got.probability).sum() / got.tokens.sum() - 0.4) < 1e-6
+    smooth = mixing.cell_probabilities(cells, ["s", "g"], {"s": None}, max_cells=bound)
+    assert max(abs(r.share - r.target) for r in mixing.marginals(smooth, ["s", "g"]).collect()) < 1e-6
+
+
+@pytest.mark.parametrize("bound", [100, 1])
+def test_raking_edges(spark, bound):
+    cells = lambda *rows: spark.createDataFrame(rows, "s string, tokens long")
+    rake = lambda df, **more: {r.s: (r.weight, r.probability) for r in mixing.cell_probabilities(df, ["s"], max_cells=bound, **more).collect()}
+    assert rake(cells(("a", 0), ("b", 0))) == {"a": (0.0, 1.0), "b": (0.0, 1.0)}
+    assert rake(cells(("a", 0)).limit(0)) == {}
+    got = rake(cells(("a", 0), ("b", 10), ("c", 10)), targets={"s": {"a": 0.5}}, keep=1.0)
+    assert got["a"] == (0.0, 1.0) and abs(got["b"][1] - 1) < 1e-9 and abs(got["c"][1] - 1) < 1e-9
+    got = rake(cells(("a", 1), ("b", 1000)), targets={"s": {"a": 0.9, "b": 0.1}}, keep=0.5)
+    assert got["a"][1] == 1 and abs(got["b"][1] - 499.5 / 1000) < 1e-9
+
+
+def test_query_targets_are_met(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = mixing.mixture(docs, targets=queries.MIX)
+    shares = rows.groupBy("lang").agg((F.sum(F.col("n_tokens") * F.col("weight"))).alias("m")).toPandas().set_index("lang").m
+    for lang, share in queries.MIX["_lang"].items():
+        assert abs(shares[lang] / shares.sum() - share) < 1e-6
 
 
 def test_mixture_and_sample_agree(docs):
