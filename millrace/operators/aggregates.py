@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.windows import seconds
+from millrace.operators.windows import numbered, seconds
+from millrace.sources.sinks import written
 
 LONG_MAX = 2**63 - 1
 
@@ -17,12 +18,21 @@ def grouped_count(df: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def top_n_other(counts: DataFrame, key: str, n: int, count: str = "n", other: str = "_other") -> DataFrame:
-    """The n largest groups, ties by key, and one row for the rest; the counts still add up.
+    """The n largest groups, ties by key, and one row for the rest; the counts still add up."""
+    return top_n_rest(counts, key, n, [F.sum(count).alias(count)], count, other)
 
-    The window runs over groups, of which there are few, not over rows.
+
+def top_n_rest(groups: DataFrame, key: str, n: int, rest: Sequence[Column], count: str = "n", other: str = "_other") -> DataFrame:
+    """The n largest groups, ties by key, and one row of the aggregates ``rest`` over the others, if there are any.
+
+    Each task keeps its own n largest, so no task sees all groups, and the n keys are few enough to be broadcast.
     """
-    ranked = counts.withColumn("_rn", F.row_number().over(Window.orderBy(F.desc(count), F.asc(key))))
-    return ranked.groupBy(F.when(F.col("_rn") <= n, F.col(key)).otherwise(F.lit(other)).alias(key)).agg(F.sum(count).alias(count))
+    groups = written(groups)
+    top = groups.orderBy(F.desc(count), F.asc(key)).limit(n)
+    keys = F.broadcast(top.select(F.col(key).alias("_top")))
+    others = groups.join(keys, F.col(key).eqNullSafe(F.col("_top")), "left_anti")
+    summed = others.agg(F.count("*").alias("_groups"), *rest).where("_groups > 0").drop("_groups").withColumn(key, F.lit(other))
+    return top.unionByName(summed.select(*groups.columns))
 
 
 def saturating_sum(c: Column) -> Column:
@@ -74,3 +84,14 @@ def first_difference(a: Column, b: Column) -> Column:
     both = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     at = F.array_position(both, False) - 1
     return F.when(at >= 0, at)
+
+
+def nearest_ranks(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column for each share, n): the least value that so large a share of a key's values do not exceed.
+
+    Exact: rows are sorted over ranges, so a key with most of the rows is spread over many tasks. Null values do not count.
+    """
+    ranked = written(numbered(df.where(F.col(value).isNotNull()).select(key, value), [key], [value], "_no").select(key, value, "_no"))
+    sizes = ranked.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    at = lambda p: F.max(F.when(F.col("_no") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))), F.col(value)))
+    return ranked.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key).agg(*[at(p).alias(name) for name, p in shares.items()], F.max("n").alias("n"))

@@ -53,12 +53,19 @@ def half_open(col: str, start, stop) -> Column:
     return (F.col(col) >= F.lit(start)) & (F.col(col) < F.lit(stop))
 
 
+def json_path(key: str) -> str:
+    """The path of a top-level key, whatever characters but single quotes it holds."""
+    if "'" in key:
+        raise ValueError("a key with a single quote has no path")
+    return f"$['{key}']"
+
+
 def attribute(json_col: str, key: str, op: str, value=None) -> Column:
     """Comparison of a top-level attribute of a JSON object.
 
     Numbers compare only with JSON numbers and strings only with JSON strings; a missing attribute fails every operator.
     """
-    path = f"$.{key}"
+    path = json_path(key)
     if op == "exists":
         return F.get_json_object(json_col, path).isNotNull()
     if op == "in":

@@ -1,36 +1,55 @@
-"""Dependency graphs of tasks: schedules, slack and the critical path, level by level."""
+"""Dependency graphs of tasks: schedules, slack and the critical path, level by level, for all graphs at once."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.sinks import written
+
 
-def longest_paths(tasks: DataFrame, edges: DataFrame, start: str, end: str, max_edges: int) -> DataFrame:
-    """(dag, task, at): the longest way along edges to each task, summed over the durations of the tasks before it.
+def longest_paths(tasks: DataFrame, edges: DataFrame, start: str, end: str, extend: tuple[str, ...] = ()) -> DataFrame:
+    """(dag, task, at, path): the longest way along edges to each task, summed over the durations of the tasks before it.
 
-    The frontier after k edges follows from the one after k - 1 by one join and one grouped maximum over all graphs.
+    The tasks reached by k edges follow from those by k - 1 by one join and one grouped maximum. Levels are written out,
+    until one is empty. A way over more edges than its graph has tasks runs in a cycle, which is an error.
+    ``path`` are the tasks of that way in order, of several as long the greatest; it is kept only if ``extend`` names it.
     """
-    weighted = edges.join(tasks.select("dag", F.col("task").alias(start), "duration"), ["dag", start]).select("dag", F.col(start).alias("_from"), F.col(end).alias("_to"), "duration")
-    frontier = tasks.select("dag", "task", F.lit(0).cast("long").alias("at"))
-    found = frontier
-    for _ in range(max_edges):
-        onward = weighted.join(frontier.withColumnRenamed("task", "_from"), ["dag", "_from"])
-        frontier = onward.groupBy("dag", F.col("_to").alias("task")).agg(F.max(F.col("at") + F.col("duration")).alias("at"))
-        found = found.union(frontier)
+    weighted = written(edges.join(tasks.select("dag", F.col("task").alias(start), "duration"), ["dag", start]).select("dag", F.col(start).alias("_from"), F.col(end).alias("_to"), "duration"))
+    most = tasks.groupBy("dag").count().agg(F.max("count")).first()[0] or 0
+    task = F.col("task")
+    path = [F.array(task).alias("path")] if "path" in extend else []
+    level = written(tasks.select("dag", "task", F.lit(0).cast("long").alias("at"), *path))
+    levels = [level]
+    while not level.isEmpty():
+        if len(levels) > most:
+            raise ValueError("the graph has a cycle")
+        onward = weighted.join(level.withColumnRenamed("task", "_from"), ["dag", "_from"]).withColumn("at", F.col("at") + F.col("duration"))
+        grouped = onward.groupBy("dag", F.col("_to").alias("task"))
+        if path:
+            best = grouped.agg(F.max(F.struct("at", "path")).alias("_b"))
+            level = written(best.select("dag", "task", "_b.at", F.concat("_b.path", F.array("task")).alias("path")))
+        else:
+            level = written(grouped.agg(F.max("at").alias("at")))
+        levels.append(level)
+    found = reduce(DataFrame.union, levels)
+    if path:
+        return found.groupBy("dag", "task").agg(F.max(F.struct("at", "path")).alias("_b")).select("dag", "task", "_b.*")
     return found.groupBy("dag", "task").agg(F.max("at").alias("at"))
 
 
-def slack(tasks: DataFrame, edges: DataFrame, max_levels: int) -> DataFrame:
+def slack(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(dag, task, duration, early_start, early_finish, late_start, late_finish, slack, makespan) for every graph at once.
 
-    ``tasks`` (dag, task, duration), ``edges`` (dag, task, upstream); ``max_levels`` bounds the edges of the longest path.
+    ``tasks`` (dag, task, duration), ``edges`` (dag, task, upstream). Graphs may be of any depth; a cycle is an error.
     """
-    edges = edges.withColumnRenamed("task", "downstream")
-    ahead = longest_paths(tasks, edges, "upstream", "downstream", max_levels).withColumnRenamed("at", "early_start")
-    behind = longest_paths(tasks, edges, "downstream", "upstream", max_levels).withColumnRenamed("at", "tail")
+    tasks, edges = written(tasks.select("dag", "task", "duration")), written(edges.select("dag", F.col("task").alias("downstream"), "upstream"))
+    ahead = longest_paths(tasks, edges, "upstream", "downstream").withColumnRenamed("at", "early_start")
+    behind = longest_paths(tasks, edges, "downstream", "upstream").withColumnRenamed("at", "tail")
     both = tasks.join(ahead, ["dag", "task"]).join(behind, ["dag", "task"]).withColumn("early_finish", F.col("early_start") + F.col("duration"))
-    spans = both.groupBy("dag").agg(F.max("early_finish").alias("makespan"))
-    late = both.join(spans, "dag").withColumn("late_finish", F.col("makespan") - F.col("tail"))
+    both = written(both)
+    late = both.join(both.groupBy("dag").agg(F.max("early_finish").alias("makespan")), "dag").withColumn("late_finish", F.col("makespan") - F.col("tail"))
     late = late.withColumn("late_start", F.col("late_finish") - F.col("duration")).withColumn("slack", F.col("late_start") - F.col("early_start"))
     return late.select("dag", "task", "duration", "early_start", "early_finish", "late_start", "late_finish", "slack", "makespan")

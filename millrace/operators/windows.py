@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.sinks import written
+
 
 def micros(c: Column) -> Column:
     """Microseconds since the epoch of a time with or without a zone (then taken in the session's)."""
@@ -55,10 +57,26 @@ def debounce(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
     return marked.groupBy(*keys, "island").agg(F.min(ts).alias("first"), (F.max(ts) + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("fire"), F.count("*").alias("n"), F.max_by(order[-1], F.struct(*order)).alias("last"))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """df with its number, from 1, in the order of each key.
+
+    Rows are dealt out by ranges of key and order and numbered within a range; the sizes of a key's earlier ranges, a row
+    for each range, are added. So a key with a large share of the rows is numbered by many tasks.
+    """
+    parts = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return parts.withColumn("_within", within).join(before, same).withColumn(out, F.col("_within") + F.col("_before")).select(*df.columns, out)
+
+
 def count_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """df with ``batch``: arrival order cut into batches of ``size`` for each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return numbered(df, keys, order, "_no").withColumn("batch", F.floor((F.col("_no") - 1) / size)).drop("_no")
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:

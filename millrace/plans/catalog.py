@@ -6,7 +6,9 @@ suppliers for workers and conversations for transcripts. Every query reads whole
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import forecast, text
@@ -255,12 +257,19 @@ def prune_victims(t):
 select source, min(due) as due from (
  select 'order' as source, min(o_orderdate) as due from orders where o_orderstatus = 'P' union all
  select 'line', min(l_shipdate) from lineitem where l_linestatus = 'O' union all
- select 'event', min(ts) from events where event_type = 'error') group by 1
+ select 'event', min(ts) from events where event_type = 'error' union all
+ select 'retry', min(o_orderdate) + interval 7 day from orders where o_orderstatus = 'O' union all
+ select 'returned', min(l_shipdate) from lineitem where l_returnflag = 'R' union all
+ select 'signup', min(ts) + interval 1 hour from events where event_type = 'signup') group by 1
 union all select 'next', min(due) from (select min(o_orderdate) as due from orders where o_orderstatus = 'P' union all
- select min(l_shipdate) from lineitem where l_linestatus = 'O' union all select min(ts) from events where event_type = 'error')""")
+ select min(l_shipdate) from lineitem where l_linestatus = 'O' union all select min(ts) from events where event_type = 'error' union all
+ select min(o_orderdate) + interval 7 day from orders where o_orderstatus = 'O' union all select min(l_shipdate) from lineitem where l_returnflag = 'R' union all
+ select min(ts) + interval 1 hour from events where event_type = 'signup')""")
 def next_wake(t):
     one = lambda df, name, c: df.agg(F.min(c).alias("due")).select(F.lit(name).alias("source"), "due")
-    parts = one(t.orders.where("o_orderstatus = 'P'"), "order", "o_orderdate").unionByName(one(t.lineitem.where("l_linestatus = 'O'"), "line", "l_shipdate")).unionByName(one(t.events.where("event_type = 'error'"), "event", "ts"))
+    sources = [(t.orders, "o_orderstatus = 'P'", "order", "o_orderdate"), (t.lineitem, "l_linestatus = 'O'", "line", "l_shipdate"), (t.events, "event_type = 'error'", "event", "ts")]
+    later = [(t.orders, "o_orderstatus = 'O'", "retry", F.expr("o_orderdate + interval 7 days")), (t.lineitem, "l_returnflag = 'R'", "returned", "l_shipdate"), (t.events, "event_type = 'signup'", "signup", F.expr("ts + interval 1 hour"))]
+    parts = reduce(DataFrame.unionByName, [one(df.where(which), name, c) for df, which, name, c in sources + later])
     return parts.unionByName(one(parts, "next", "due"))
 
 
@@ -340,8 +349,7 @@ select case when rn <= 10 then k else '_other' end as k, cast(sum(n) as bigint)
  cast((select count(*) from documents) as bigint) as total from r group by 1""")
 def dead_letter_groups(t):
     groups = t.documents.groupBy(F.concat_ws("/", "source", "lang").alias("k")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_seen"), F.max("doc_id").alias("last_seen"))
-    ranked = groups.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("k"))))
-    out = ranked.groupBy(F.when(F.col("rn") <= 10, F.col("k")).otherwise("_other").alias("k")).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    out = A.top_n_rest(groups, "k", 10, [F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")])
     return out.crossJoin(groups.agg(F.sum("n").alias("total")))
 
 
@@ -396,8 +404,7 @@ def pivot_scores(t):
 @query("""
 select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, count(value) as n from events group by 1""")
 def latency_percentiles(t):
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return t.events.groupBy("event_type").agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.count("value").alias("n"))
+    return A.nearest_ranks(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("""
@@ -715,7 +722,7 @@ def dag_slack(t):
     tasks = t.lineitem.groupBy(F.col("l_orderkey").alias("dag"), F.col("l_linenumber").alias("task")).agg(F.max("l_quantity").cast("long").alias("duration"))
     edges = tasks.where("task > 1").select("dag", "task", F.floor(F.col("task") / 2).cast("int").alias("upstream"))
     known = edges.join(tasks.select("dag", F.col("task").alias("upstream")), ["dag", "upstream"], "left_semi")
-    return G.slack(tasks, known, 3).select("dag", "task", "duration", "early_start", "slack", "makespan")
+    return G.slack(tasks, known).select("dag", "task", "duration", "early_start", "slack", "makespan")
 
 
 from millrace.plans import histories  # noqa: E402, F401  registers its queries

@@ -199,7 +199,12 @@ def history_fingerprints(t):
     return t.events.groupBy("user_id").agg(F.sha2(text, 256).alias("fingerprint"), F.count("*").alias("n"))
 
 
-@query()
+@query("""
+with s as (select o_custkey, string_agg(o_orderstatus, '>' order by o_orderdate, o_orderkey) as shape from orders group by 1),
+d as (select distinct shape, flatten(list_transform(string_split(shape, '>'), lambda x: [ascii(x), 0])) as bytes from s),
+f as (select shape, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(bytes, lambda x: x::hugeint)),
+  lambda h, b: ((h - h % 256 + xor((h % 256)::int, b::int)) * 1099511628211) % 18446744073709551616) as h from d)
+select o_custkey, shape, lower(lpad(hex(h::ubigint), 16, '0')) as fingerprint from s join f using (shape)""")
 def shape_fingerprints(t):
     runs = A.shapes(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus")
     return fingerprint.sequence_fingerprints(runs, "shape", "fingerprint").select("o_custkey", "shape", "fingerprint")
@@ -297,18 +302,17 @@ es as (select dag, task, d, cast(0 as bigint) as es, cast(task as varchar) as pa
 select dag, max(es + d) as makespan, arg_max(path, (es + d, -task)) as critical, cast(sum(d) as bigint) as task_time from es group by 1""")
 def critical_paths(t):
     tasks, edges = _tree_tasks(t)
-    state = tasks.join(edges, ["dag", "task"], "left_anti").select("dag", "task", "duration", F.col("duration").alias("finish"), F.col("task").cast("string").alias("path"))
-    found = state
-    for _ in range(3):
-        up = state.select("dag", F.col("task").alias("upstream"), F.col("finish").alias("before"), F.col("path").alias("so_far"))
-        state = edges.join(up, ["dag", "upstream"]).join(tasks, ["dag", "task"]).select("dag", "task", "duration", (F.col("before") + F.col("duration")).alias("finish"), F.concat_ws(">", "so_far", F.col("task").cast("string")).alias("path"))
-        found = found.union(state)
-    return found.groupBy("dag").agg(F.max("finish").alias("makespan"), F.max_by("path", F.struct(F.col("finish").alias("f"), (-F.col("task")).alias("t"))).alias("critical"), F.sum("duration").alias("task_time"))
+    ways = G.longest_paths(tasks, edges.withColumnRenamed("task", "downstream"), "upstream", "downstream", ("path",))
+    found = ways.join(tasks, ["dag", "task"]).withColumn("finish", F.col("at") + F.col("duration"))
+    # Of several ways as long, that to the smallest task.
+    first = F.struct(F.col("finish").alias("f"), (-F.col("task")).alias("t"))
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    return found.groupBy("dag").agg(F.max("finish").alias("makespan"), F.max_by(path, first).alias("critical"), F.sum("duration").alias("task_time"))
 
 
 @query()
 def slack_summary(t):
-    got = G.slack(*_tree_tasks(t), 3)
+    got = G.slack(*_tree_tasks(t))
     return got.groupBy("dag").agg(F.count_if(F.col("slack") == 0).alias("critical_tasks"), F.max("slack").alias("most_slack"), F.max_by("task", F.struct(F.col("slack").alias("s"), (-F.col("task")).alias("t"))).alias("most_flexible"))
 
 

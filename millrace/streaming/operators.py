@@ -33,23 +33,42 @@ def sessions(df: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame
     return df.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def latest_state(df: DataFrame, key: str, ts: str, version: str, value: str) -> DataFrame:
-    """(key, version, value) whenever a key's newest version changes; older versions that come late change nothing."""
+def latest_state(df: DataFrame, key: str, ts: str, version: str, value: str, late: str = "0 seconds", forget_ms: int | None = None) -> DataFrame:
+    """(key, version, value) whenever a key's newest version changes; older versions that come late change nothing.
+
+    With ``forget_ms`` a key is forgotten once the watermark has passed its last row by so long, so that state follows the
+    live keys; a version that comes later still counts as new.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get[:2] if state.exists else None
+        last = state.get[2] if state.exists else 0
         was = best
         for pdf in frames:
             row = pdf.loc[pdf[version].idxmax()]
+            last = max(last, int(pdf[ts].max().timestamp() * 1000))
             if best is None or int(row[version]) > best[0]:
                 best = (int(row[version]), None if row[value] is None else str(row[value]))
+        if best is not None:
+            state.update((*best, last))
+            if forget_ms is not None:
+                state.setTimeoutTimestamp(max(last + forget_ms, state.getCurrentWatermarkMs() + 1))
         if best is not None and best != was:
-            state.update(best)
             yield pd.DataFrame({key: [k[0]], "version": [best[0]], "value": [best[1]]})
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, version, F.col(value).cast("string").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, version long, value string", "version long, value string", "update", GroupStateTimeout.NoTimeout)
+    timed = df if forget_ms is None else df.withWatermark(ts, late)
+    rows = timed.select(key, ts, version, F.col(value).cast("string").alias(value))
+    timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, version long, value string", "version long, value string, last long", "update", timeout)
+
+
+def _in_order(frames: Iterator[pd.DataFrame], ts: str, payload: str) -> list[tuple]:
+    """A trigger's rows of one key by time, over all the chunks in which they come."""
+    return sorted((row for pdf in frames for row in zip(pdf[ts], pdf[payload])), key=lambda x: (x[0], str(x[1])))
 
 
 def batches(df: DataFrame, key: str, ts: str, payload: str, size: int, wait_ms: int, late: str = "0 seconds") -> DataFrame:
@@ -63,13 +82,12 @@ def batches(df: DataFrame, key: str, ts: str, payload: str, size: int, wait_ms:
             out.append(held)
             held, first = [], None
         else:
-            for pdf in frames:
-                for t, p in sorted(zip(pdf[ts], pdf[payload])):
-                    first = int(t.timestamp() * 1000) if first is None else first
-                    held.append(str(p))
-                    if len(held) >= size:
-                        out.append(held)
-                        held, first = [], None
+            for t, p in _in_order(frames, ts, payload):
+                first = int(t.timestamp() * 1000) if first is None else first
+                held.append(str(p))
+                if len(held) >= size:
+                    out.append(held)
+                    held, first = [], None
         if held:
             state.update((held, first))
             state.setTimeoutTimestamp(max(first + wait_ms, state.getCurrentWatermarkMs() + 1))
@@ -93,15 +111,14 @@ def debounced(df: DataFrame, key: str, ts: str, payload: str, gap_ms: int, most_
             out.append((fire, n, last))
             first = None
         else:
-            for pdf in frames:
-                for t, p in sorted(zip(pdf[ts], pdf[payload])):
-                    now = int(t.timestamp() * 1000)
-                    if first is not None and now >= fire:
-                        out.append((fire, n, last))
-                        first = None
-                    if first is None:
-                        first, n = now, 0
-                    n, last, fire = n + 1, str(p), min(now + gap_ms, first + most_ms)
+            for t, p in _in_order(frames, ts, payload):
+                now = int(t.timestamp() * 1000)
+                if first is not None and now >= fire:
+                    out.append((fire, n, last))
+                    first = None
+                if first is None:
+                    first, n = now, 0
+                n, last, fire = n + 1, str(p), min(now + gap_ms, first + most_ms)
         if first is not None:
             state.update((first, fire, n, last))
             state.setTimeoutTimestamp(max(fire, state.getCurrentWatermarkMs() + 1))

@@ -70,10 +70,46 @@ def test_peak_of_a_diamond(spark):
 def test_slack_of_a_diamond(spark):
     tasks = spark.createDataFrame([("g", t, d) for t, d in (("a", 2), ("b", 10), ("c", 3), ("d", 1))], "dag string, task string, duration long")
     edges = spark.createDataFrame([("g", "b", "a"), ("g", "c", "a"), ("g", "d", "b"), ("g", "d", "c")], "dag string, task string, upstream string")
-    got = {r.task: (r.early_start, r.slack, r.makespan) for r in G.slack(tasks, edges, 3).collect()}
+    got = {r.task: (r.early_start, r.slack, r.makespan) for r in G.slack(tasks, edges).collect()}
     assert got == {"a": (0, 0, 13), "b": (2, 0, 13), "c": (2, 7, 13), "d": (12, 0, 13)}
 
 
+def test_slack_of_a_long_chain_and_of_a_cycle(spark):
+    tasks = spark.createDataFrame([("g", i, 1) for i in range(30)] + [("h", 0, 5)], "dag string, task int, duration long")
+    edges = spark.createDataFrame([("g", i, i - 1) for i in range(1, 30)], "dag string, task int, upstream int")
+    got = G.slack(tasks, edges).collect()
+    assert {(r.dag, r.task, r.early_start, r.slack, r.makespan) for r in got} == {("g", i, i, 0, 30) for i in range(30)} | {("h", 0, 0, 0, 5)}
+    cycle = edges.union(spark.createDataFrame([("g", 0, 29)], edges.schema))
+    with pytest.raises(ValueError):
+        G.slack(tasks, cycle)
+
+
+def test_profile_of_a_schedule(spark):
+    tasks = spark.createDataFrame([("g", t, d) for t, d in (("a", 2), ("b", 10), ("c", 3), ("d", 1))], "dag string, task string, duration long")
+    edges = spark.createDataFrame([("g", "b", "a"), ("g", "c", "a"), ("g", "d", "b"), ("g", "d", "c")], "dag string, task string, upstream string")
+    plan = G.slack(tasks, edges)
+    assert tuple(W.peak(plan, ["dag"], "early_start", "early_finish").first()) == ("g", 2, 2)
+    assert tuple(W.peak(plan, ["dag"], "late_start", "late_finish").first()) == ("g", 2, 9)
+
+
+def test_numbers_and_ranks_over_ranges(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise("k").alias("k"), (F.col("id") * 7919 % 5000).alias("v"))
+    got = {(r.k, r.v): r.no for r in W.numbered(df, ["k"], ["v"], "no").collect()}
+    for k in (None, "k"):
+        assert [n for _, n in sorted((v, n) for (x, v), n in got.items() if x == k)] == list(range(1, sum(x == k for x, _ in got) + 1))
+    ranks = {r.k: (r.half, r.n) for r in A.nearest_ranks(df, "k", "v", {"half": 0.5}).collect()}
+    for k in (None, "k"):
+        own = sorted(v for x, v in got if x == k)
+        assert ranks[k] == (own[-(-len(own) // 2) - 1], len(own))
+
+
+def test_keys_with_dots(spark):
+    df = spark.createDataFrame([('{"a.b": 5, "a": {"b": 7}}',)], "j string")
+    assert df.where(P.attribute("j", "a.b", "eq", 5)).count() == 1 and df.where(P.attribute("j", "a.b", "exists")).count() == 1
+    with pytest.raises(ValueError):
+        P.attribute("j", "it's", "eq", 1)
+
+
 def test_first_difference(spark):
     row = lambda a, b: spark.range(1).select(A.first_difference(F.lit(a), F.lit(b))).first()[0]
     assert row(["x", "x"], ["x", "y"]) == 1
@@ -122,5 +158,10 @@ def test_sinks(spark, tmp_path):
     assert '"dur":4' in sinks.chrome_trace(spans, "n", "t", "s", "e").first()[0]
     edges = spark.createDataFrame([("g", "b", "a")], "g string, t string, u string")
     assert sinks.mermaid(edges, "g", "t", "u").first()["text"] == "graph TD\n  a --> b"
-    sinks.archive(spark.createDataFrame([(1, at(0)), (2, at(90000))], "id int, ts timestamp"), "ts", str(tmp_path / "a"))
+    assert sinks.dot(edges, "g", "t", "u").first()["text"] == 'digraph {\n  "a" -> "b";\n}'
+    tasks = spark.createDataFrame([("g", "b", 2, 3), ("g", "a", 0, 2)], "g string, t string, s int, d int")
+    assert sinks.gantt(tasks, "g", "t", "s", "d").first()["text"] == "gantt\n  dateFormat X\n  a :0, 2s\n  b :2, 3s"
+    for run in ("1", "1", "2"):
+        sinks.archive(spark.createDataFrame([(1, at(0)), (2, at(90000))], "id int, ts timestamp"), "ts", str(tmp_path / "a"), run)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 4
     assert sorted(p.name for p in (tmp_path / "a").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]

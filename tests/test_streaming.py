@@ -73,4 +73,19 @@ def test_sinks_run_again_without_doubling(spark, tmp_path):
     keep = sinks.upsert_latest(str(tmp_path / "t"), ["k"], ["v"])
     keep(spark.createDataFrame([("a", at(0), 1, "x")], SCHEMA), 0)
     keep(spark.createDataFrame([("a", at(0), 2, "y"), ("b", at(0), 1, "z")], SCHEMA), 1)
-    assert {(r.k, r.p) for r in spark.read.parquet(str(tmp_path / "t/snapshot=1")).collect()} == {("a", "y"), ("b", "z")}
+    assert {(r.k, r.p) for r in sinks.read_latest(spark, str(tmp_path / "t"), ["k"], ["v"]).collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_upserts_are_compacted(spark, tmp_path):
+    keep = sinks.upsert_latest(str(tmp_path), ["k"], ["v"], every=2)
+    for n in (0, 1, 2, 3, 3, 4):
+        keep(spark.createDataFrame([("a", at(0), n, f"p{n}"), (f"k{n}", at(0), 0, "own")], SCHEMA), n)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["delta=2", "delta=3", "delta=4", "snapshot=1", "snapshot=3"]
+    got = {(r.k, r.p) for r in sinks.read_latest(spark, str(tmp_path), ["k"], ["v"]).collect()}
+    assert got == {("a", "p4")} | {(f"k{n}", "own") for n in range(5)}
+
+
+def test_latest_state_forgets(spark, tmp_path):
+    df = feed(spark, str(tmp_path / "in"), [("a", at(0), 5, "five")], [("b", at(1000), 1, "x")], [("b", at(2000), 2, "y")], [("a", at(3000), 1, "again")])
+    got = drain(spark, S.latest_state(df, "k", "ts", "v", "p", forget_ms=60_000), "update", "forgets", tmp_path)
+    assert ("a", 5, "five") in got and ("a", 1, "again") in got
