@@ -60,9 +60,9 @@ def rake_sql(rounds: int = 80, keep: float = mixing.KEEP) -> str:
     shares = [f"s_{d} as (select {d} as k, sum(tokens) / any_value(total) as share, any_value(v) as v from totals left join (values {given[d]}) t(k, v) on {d} = k group by 1)" for d in dims]
     goals = [f"r_{d} as (select k, coalesce(v, (select greatest(0, 1 - coalesce(sum(v), 0)) from s_{d}) * share / (select sum(share) from s_{d} where v is null)) as r from s_{d}), g_{d} as materialized (select k, r / (select sum(r) from r_{d}) as g from r_{d})" for d in dims]
     joined = " ".join(f"join g_{d} on {d} is not distinct from g_{d}.k" for d in dims)
-    dense = lambda marks, times: f"{times} * (length(text) - length(translate(text, '{marks}', ''))) > length(text)"
+    dense = lambda mark, times: f"{times} * (length(text) - length(replace(text, '{mark}', ''))) > length(text)"
     return f"""
-with recursive t as (select doc_id, source, lang, case when {dense("|", 40)} then 'table' when {dense("@", 400)} then 'contact' when {dense("0123456789", 20)} then 'numbers'
+with recursive t as (select doc_id, source, lang, case when {dense("|", 40)} then 'table' when {dense("@", 400)} then 'contact'
   when {dense("!", 100)} then 'exclaimed' else 'prose' end as topic, cast(len({WORDS}) as bigint) as n_tokens from documents),
 cells as materialized (select source, lang, topic, cast(sum(n_tokens) as double) as tokens from t group by 1, 2, 3),
 totals as materialized (select *, sum(tokens) over () as total from cells),

@@ -33,7 +33,7 @@ CHUNK_IDS = 1 << 16
 #: Different words that the library encodes in one call, and words of texts put together at a time.
 WORDS, STRETCH = 500, 500_000
 #: Words that a worker keeps with their ids, beside those of a batch and as many older ones, and how long they may be.
-MEMO, MEMO_CHARS = 600_000, 64
+MEMO, MEMO_CHARS = 400_000, 64
 #: Writing tasks up to which the number of ids before each is broadcast; beyond that it joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 INDEX = np.dtype([("start", "<u4"), ("exceptions", "<u4"), ("least", "<u4"), ("width", "u1")])
