@@ -15,13 +15,13 @@ def longest_paths(tasks: DataFrame, edges: DataFrame, start: str, end: str, exte
 
     The tasks reached by k edges follow from those by k - 1 by one join and one grouped maximum. Levels are written out,
     until one is empty. A way over more edges than its graph has tasks runs in a cycle, which is an error.
-    ``path`` are the tasks of that way in order, of several as long the greatest; it is kept only if ``extend`` names it.
+    ``tasks`` and ``edges`` are read once a level, so they had better be tables. ``path`` are the tasks of that way in order, of several as long the greatest; it is kept only if ``extend`` names it.
     """
     weighted = written(edges.join(tasks.select("dag", F.col("task").alias(start), "duration"), ["dag", start]).select("dag", F.col(start).alias("_from"), F.col(end).alias("_to"), "duration"))
     most = tasks.groupBy("dag").count().agg(F.max("count")).first()[0] or 0
     task = F.col("task")
     path = [F.array(task).alias("path")] if "path" in extend else []
-    level = written(tasks.select("dag", "task", F.lit(0).cast("long").alias("at"), *path))
+    level = tasks.select("dag", "task", F.lit(0).cast("long").alias("at"), *path)
     levels = [level]
     while not level.isEmpty():
         if len(levels) > most:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,3 +86,28 @@ def previous_of(a: str, b: str, before_a, before_b) -> Column:
 def page(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     """A page and the row after it, by which a caller sees that there is more."""
     return df.orderBy(*order).limit(size + 1)
+
+
+def nested(rows: DataFrame) -> DataFrame:
+    """(root, tree): the rows (root, id, parent, depth) of trees as one text for each root, as 1(4(16,17),5).
+
+    From the deepest level up, the texts of a node's children are set into its own, in the order of their ids.
+    """
+    rows = written(rows)
+    deepest = rows.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return rows.select("root", F.lit("").alias("tree"))
+    below = None
+    for depth in range(deepest, -1, -1):
+        own = rows.where(F.col("depth") == depth).withColumn("text", F.col("id").cast("string"))
+        if below is not None:
+            inside = below.groupBy("root", F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("c"))
+            own = own.join(inside, ["root", "id"], "left").withColumn("text", F.concat("text", F.coalesce(F.concat(F.lit("("), F.array_join(F.transform("c", lambda x: x.text), ","), F.lit(")")), F.lit(""))))
+        below = written(own.select("root", "id", "parent", "text"))
+    return below.select("root", F.col("text").alias("tree"))
+
+
+def merged_page(shards: Sequence[DataFrame], order: Sequence[str], after: Sequence, size: int) -> DataFrame:
+    """The page after a place in the order over all shards; each task keeps its own first rows before they are merged."""
+    every = reduce(DataFrame.unionByName, shards)
+    return page(every.where(next_of(*order, *after)), [F.asc(c) for c in order], size)

@@ -455,18 +455,13 @@ def count_batches(t):
 
 
 @query("""
-select event_id, user_id, event_type, (select count(*) from unnest(list(event_type) over w) u(x) where x = event_type) as repeats from events
-window w as (partition by user_id order by ts, event_id rows 29 preceding)""")
+with x as (select event_id, user_id, event_type, list(event_type) over (partition by user_id order by ts, event_id rows 29 preceding) as seen from events)
+select event_id, user_id, event_type, cast(len(list_filter(seen, lambda x: x = event_type)) as bigint) as repeats from x""")
 def loop_guard(t):
     got = W.repeats_in_last(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type"), 30)
     return got.select("event_id", "user_id", "event_type", F.col("repeats").cast("long").alias("repeats"))
 
 
-SQL["loop_guard"] = """
-with x as (select event_id, user_id, event_type, list(event_type) over (partition by user_id order by ts, event_id rows 29 preceding) as seen from events)
-select event_id, user_id, event_type, cast(len(list_filter(seen, lambda x: x = event_type)) as bigint) as repeats from x"""
-
-
 @query("""
 with j as (select user_id, event_id, ts, event_type in ('click', 'view') as joinable, sum(case when event_type in ('click', 'view') then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from events),
 n as (select *, (row_number() over (partition by user_id, island order by ts, event_id) - 1) // 4 as part from j where joinable)
@@ -478,18 +473,14 @@ def fan_out_plan(t):
 
 
 @query("""
-select user_id, event_id, ts, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as under from events where event_type in ('signup', 'error') qualify event_type = 'error'""")
+with x as (select user_id, event_id, ts, event_type, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as under from events where event_type in ('signup', 'error'))
+select user_id, event_id, ts, under from x where event_type = 'error'""")
 def name_carry_forward(t):
     rows = t.events.where(P.one_of("event_type", ["signup", "error"]))
     got = W.carried(rows, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "under")
     return got.where("event_type = 'error'").select("user_id", "event_id", "ts", "under")
 
 
-SQL["name_carry_forward"] = """
-with x as (select user_id, event_id, ts, event_type, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as under from events where event_type in ('signup', 'error'))
-select user_id, event_id, ts, under from x where event_type = 'error'"""
-
-
 @query("select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 2")
 def keep_newest(t):
     return J.top_k(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], [F.desc("turn")], 2).select("conv_id", "turn", "role")
@@ -662,16 +653,12 @@ def throttle_levels(t):
 
 
 @query("""
-select o_orderkey, cast((select count(*) from range(1, 7) r(i) where (i - 1) * (o_orderkey % 20) + list_sum([least(30.0, power(2.0, x - 1)) for x in range(1, i)]) < 60 or i = 1) as integer) as attempts from orders""")
+with d as (select i, coalesce((select sum(least(30.0, power(2.0, x - 1))) from range(1, i) r(x)), 0.0) as waited from range(1, 7) s(i))
+select o_orderkey, cast(count(*) filter (where (i - 1) * (o_orderkey % 20) + waited < 60) as integer) as attempts from orders, d group by 1""")
 def retry_envelope(t):
     return t.orders.select("o_orderkey", forecast.reachable_attempts(6, 1.0, 2.0, 30.0, (F.col("o_orderkey") % 20).cast("double"), F.lit(60.0)).alias("attempts"))
 
 
-SQL["retry_envelope"] = """
-with d as (select i, coalesce((select sum(least(30.0, power(2.0, x - 1))) from range(1, i) r(x)), 0.0) as waited from range(1, 7) s(i))
-select o_orderkey, cast(count(*) filter (where (i - 1) * (o_orderkey % 20) + waited < 60) as integer) as attempts from orders, d group by 1"""
-
-
 @query("""
 select event_id, sha256(length(event_type) || ':' || event_type || '|' || length(cast(event_id as varchar)) || ':' || event_id) as key,
  substr(sha256('salt' || event_type), 1, 12) as anon from events""")
@@ -682,21 +669,14 @@ def idempotency_keys(t):
 @query("""
 with recursive p as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations),
 c as (select conv_id, n, sha256('' || '|' || length(text) || '|' || text) as link from p where n = 1
- union all select p.conv_id, p.n, sha256(c.link || '|' || length(p.text) || '|' || p.text) from c join p on p.conv_id = c.conv_id and p.n = c.n + 1)
-select conv_id, n as turns, link from c qualify row_number() over (partition by conv_id order by n desc) = 1""")
+ union all select p.conv_id, p.n, sha256(c.link || '|' || length(p.text) || '|' || p.text) from c join p on p.conv_id = c.conv_id and p.n = c.n + 1),
+m as (select *, max(n) over (partition by conv_id) as top from c)
+select conv_id, n as turns, link from m where n = top""")
 def transcript_hash_chain(t):
     turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return turns.select("conv_id", F.size("t").cast("long").alias("turns"), text.hash_chain(F.transform("t", lambda x: x.text)).alias("link"))
 
 
-SQL["transcript_hash_chain"] = """
-with recursive p as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations),
-c as (select conv_id, n, sha256('' || '|' || length(text) || '|' || text) as link from p where n = 1
- union all select p.conv_id, p.n, sha256(c.link || '|' || length(p.text) || '|' || p.text) from c join p on p.conv_id = c.conv_id and p.n = c.n + 1),
-m as (select *, max(n) over (partition by conv_id) as top from c)
-select conv_id, n as turns, link from m where n = top"""
-
-
 @query("""
 with x as (select event_id, event_type, cast(props->>'$.k' as double) as w, cast(('0x' || substr(md5(cast(event_id as varchar)), 1, 13)) as bigint) / 4503599627370496.0 as u from events),
 y as (select event_type, event_id, case when w > 0 then power(u, 1.0 / w) else -1.0 end as key from x)
@@ -719,10 +699,7 @@ lf as (select e.dag, e.task, e.d, e.es, m.makespan, e.task as leaf, m.makespan a
  union all select p.dag, p.task, p.d, p.es, lf.makespan, lf.leaf, lf.lf - lf.d from lf join es p on p.dag = lf.dag and p.task = lf.task // 2 and lf.task > 1)
 select dag, cast(task as integer) as task, d as duration, es as early_start, min(lf) - d - es as slack, makespan from lf group by 1, 2, 3, 4, 6""")
 def dag_slack(t):
-    tasks = t.lineitem.groupBy(F.col("l_orderkey").alias("dag"), F.col("l_linenumber").alias("task")).agg(F.max("l_quantity").cast("long").alias("duration"))
-    edges = tasks.where("task > 1").select("dag", "task", F.floor(F.col("task") / 2).cast("int").alias("upstream"))
-    known = edges.join(tasks.select("dag", F.col("task").alias("upstream")), ["dag", "upstream"], "left_semi")
-    return G.slack(tasks, known).select("dag", "task", "duration", "early_start", "slack", "makespan")
+    return G.slack(*histories.tree_tasks(t)).select("dag", "task", "duration", "early_start", "slack", "makespan")
 
 
-from millrace.plans import histories  # noqa: E402, F401  registers its queries
+from millrace.plans import histories, reviews  # noqa: E402, F401  register their queries

@@ -12,6 +12,7 @@ from millrace.operators import graph as G
 from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.plans.registry import SQL, event_k, query
+from millrace.sources.sinks import written
 
 
 @query("""
@@ -289,8 +290,8 @@ def lock_order(t):
     return t.lineitem.where("l_linestatus = 'O'").select(F.col("l_suppkey").alias("lock_id"), "l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("place"))
 
 
-def _tree_tasks(t):
-    tasks = t.lineitem.groupBy(F.col("l_orderkey").alias("dag"), F.col("l_linenumber").alias("task")).agg(F.max("l_quantity").cast("long").alias("duration"))
+def tree_tasks(t):
+    tasks = written(t.lineitem.groupBy(F.col("l_orderkey").alias("dag"), F.col("l_linenumber").alias("task")).agg(F.max("l_quantity").cast("long").alias("duration")))
     edges = tasks.where("task > 1").select("dag", "task", F.floor(F.col("task") / 2).cast("int").alias("upstream"))
     return tasks, edges.join(tasks.select("dag", F.col("task").alias("upstream")), ["dag", "upstream"], "left_semi")
 
@@ -301,7 +302,7 @@ es as (select dag, task, d, cast(0 as bigint) as es, cast(task as varchar) as pa
  union all select n.dag, n.task, n.d, es.es + es.d, es.path || '>' || n.task from es join n on n.dag = es.dag and n.task // 2 = es.task and n.task > 1)
 select dag, max(es + d) as makespan, arg_max(path, (es + d, -task)) as critical, cast(sum(d) as bigint) as task_time from es group by 1""")
 def critical_paths(t):
-    tasks, edges = _tree_tasks(t)
+    tasks, edges = tree_tasks(t)
     ways = G.longest_paths(tasks, edges.withColumnRenamed("task", "downstream"), "upstream", "downstream", ("path",))
     found = ways.join(tasks, ["dag", "task"]).withColumn("finish", F.col("at") + F.col("duration"))
     # Of several ways as long, that to the smallest task.
@@ -312,7 +313,7 @@ def critical_paths(t):
 
 @query()
 def slack_summary(t):
-    got = G.slack(*_tree_tasks(t))
+    got = G.slack(*tree_tasks(t))
     return got.groupBy("dag").agg(F.count_if(F.col("slack") == 0).alias("critical_tasks"), F.max("slack").alias("most_slack"), F.max_by("task", F.struct(F.col("slack").alias("s"), (-F.col("task")).alias("t"))).alias("most_flexible"))
 
 
