@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(small(marks, LABELS_BROADCAST), "_id")
     counts = map_arrow(rows.select("text", "label"), _counts, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good"), F.sum("bad"))
     scale = ratios([tuple(r) for r in counts.collect()])  # at most two to the BITS features
-    drawn = rows.where(draw(F.col("_id"), "fit") < F.lit(min(1.0, 0.95 * sample / max(n, 1)) if n > sample else 1.0))
+    drawn = rows.where(draw(F.col("_id"), seed="fit") < F.lit(min(1.0, 0.95 * sample / max(n, 1)) if n > sample else 1.0))
     held = map_arrow(drawn.select("text", "label"), _extract, "features array<int>, label int").limit(sample).toArrow()
     found = [np.array(x, dtype=np.int64) for x in held.column("features").to_pylist()]
     y = held.column("label").to_numpy()

@@ -682,3 +682,13 @@ def test_pipeline_against_brute_force(spark, data):
     assert got.doc_id.tolist() == drawn
     assert got.start.tolist() == [0, *got.n_tokens.cumsum().tolist()[:-1]]
     assert len(corpus_pipeline.STAGES) == 5 and json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_every_query_on_empty_tables(spark, data, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark", "conversations"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op10_") else 0), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
