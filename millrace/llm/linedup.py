@@ -342,7 +342,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """(id, n_lines, n_links, n_removed, classes): a row for each id, of its lines with a word taken together.
 
-    ``classes`` are the ids that the classes of its lines are named by. Ids without such lines have zeros and no classes.
+    ``classes`` are the ids that the classes of its lines are named by; a null id is not listed. Ids without such lines have zeros and no classes.
     """
     lines = line_classes(docs, id_col, text_col, **more)
     counts = lines.groupBy("id").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if(~F.col("first")).alias("n_removed"), F.array_sort(F.collect_set("class_id")).alias("classes"))
