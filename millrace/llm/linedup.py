@@ -3,8 +3,8 @@
 A line within ``threshold`` edits of another keeps at least one of the other's threshold + 1 segments unchanged, at one
 of a few places that the two lengths allow. Segments are the index, those substrings are the probes; both are keyed by
 segment number, length of the indexed line and content. What meets is first compared by a sketch (the parity of hashed
-character pairs, of which an edit moves at most four) and then verified by bit-parallel edit distance, cut off at the
-threshold. Equal lines are one entry.
+character pairs, of which an edit moves at most four) and then verified by banded bit-parallel edit distance. Equal lines
+are one entry.
 """
 
 from __future__ import annotations
@@ -78,36 +78,48 @@ def places(n: int, threshold: int) -> list[tuple[int, int, int, int, int]]:
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Edit distance by bit-parallel rows over a, given up once it must exceed ``most`` (then most + 1).
+    """Edit distance by a bit-parallel band of ``most`` diagonals on both sides, given up once it must exceed ``most`` (then most + 1).
 
-    Equal ends are cut off first; only what lies between them is compared.
+    Equal ends are cut off first; only what lies between them is compared. Column j of the band holds the rows j - most
+    to j + most of the longer line, a bit each; the band moves down a row with each column. What lies outside counts as
+    dearer than it is, which no path of ``most`` edits meets.
     """
-    if abs(len(a) - len(b)) > most:
+    if len(a) < len(b):
+        a, b = b, a
+    ahead = len(a) - len(b)
+    if ahead > most:
         return most + 1
-    x, n = 0, min(len(a), len(b))
+    x, n = 0, len(b)
     while x < n and a[x] == b[x]:
         x += 1
     y = 0
     while y < n - x and a[-1 - y] == b[-1 - y]:
         y += 1
     a, b = a[x : len(a) - y], b[x : len(b) - y]
-    if not a or not b:
-        return min(len(a) + len(b), most + 1)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, score = full, 0, len(a)
+    if not b:
+        return ahead
+    # For each character its rows within the band, and the column for which they stand; later columns shift them.
+    where: dict[str, tuple[int, int]] = {}
+    for i, c in enumerate(a[:most]):
+        where[c] = where.get(c, (0, 0))[0] | 1 << i + most, 0
+    band = (1 << 2 * most + 1) - 1
+    plus, minus = band << most & band, 0
+    # Costs are followed along the diagonal that ends in the last cell; they never fall along it.
+    score, end = ahead, 1 << most + ahead
     for j, c in enumerate(b):
-        hit = where.get(c, 0)
-        diagonal = (((hit & plus) + plus) ^ plus) | hit | minus
-        up, down = minus | ~(diagonal | plus) & full, plus & diagonal
-        score += bool(up & top) - bool(down & top)
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        plus, minus = down | ~(diagonal | up) & full, up & diagonal
-    return min(score, most + 1)
+        if j + most < len(a):
+            rows, at = where.get(a[j + most], (0, j))
+            where[a[j + most]] = rows >> j - at | 1 << 2 * most, j
+        rows, at = where.get(c, (0, j))
+        hit = rows >> j - at
+        same = ((hit & plus) + plus ^ plus | hit | minus) & band
+        if not same & end:
+            score += 1
+            if score > most:
+                return score
+        right, left = minus | ~(same | plus) & band, same & plus
+        plus, minus = left | ~(same >> 1 | right) & band, same >> 1 & right
+    return score
 
 
 @lru_cache(maxsize=10_000)

@@ -347,8 +347,10 @@ def test_edits():
     for _ in range(2000):
         a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 12)))
         b = changed(rng, a, "abcé")
-        for most in (1, 2, 3):
+        c = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
+        for most in (0, 1, 2, 3, 5):
             assert linedup.edits(a, b, most) == min(plain_edits(a, b), most + 1)
+            assert linedup.edits(a, c, most) == min(plain_edits(a, c), most + 1)
 
 
 @pytest.mark.parametrize("crowd", [4096, 3])
