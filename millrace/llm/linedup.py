@@ -24,8 +24,8 @@ from millrace.llm.components import connected_components
 from millrace.llm.hashing import hashes_of, sums_of
 
 THRESHOLD = 2
-#: The default of ``least``: shorter lines are only joined with equal ones. The query sets it to 1, so it leaves no line out.
-LEAST_CHARS = 16
+#: The default of ``least``, which leaves no line out; lines of fewer characters are only joined with equal ones.
+LEAST_CHARS = 1
 #: Lines under one key up to which all are compared; beyond that the key is split by parts of the sketch.
 CROWD = 4096
 #: A key that its sketch parts do not thin out is compared by pairs of blocks of so many times CROWD rows, a task for each pair.
