@@ -43,6 +43,33 @@ def schedule_profile(t):
     return early.join(late, "dag")
 
 
+@query("""
+with recursive n as (select l_orderkey as dag, l_linenumber as task, cast(max(l_quantity) as bigint) as d from lineitem group by 1, 2),
+a as (select dag, task, task as before from n union all select a.dag, a.task, n.task from a join n on n.dag = a.dag and n.task = a.before // 2 where a.before > 1),
+f as (select a.dag, x.task as changed, a.task, sum(n.d) as finish, sum(case when n.task = x.task then n.d // 2 else n.d end) as sooner from a join n on n.dag = a.dag and n.task = a.before join n x on x.dag = a.dag group by 1, 2, 3),
+g as (select dag, changed as task, cast(max(finish) - max(sooner) as bigint) as gain from f group by 1, 2)
+select dag, task, d as duration, gain, row_number() over (partition by dag order by gain desc, task) as place from g join n using (dag, task)""")
+def whatif_gains(t):
+    rows = G.gains(*tree_tasks(t), F.floor(F.col("duration") / 2).cast("long"))
+    place = F.row_number().over(Window.partitionBy("dag").orderBy(F.desc("gain"), "task"))
+    return rows.select("dag", "task", "duration", "gain", place.cast("long").alias("place"))
+
+
+@query("""
+select user_id % 4 as shard, event_type as sampler, arg_max(cast(props->>'$.k' as bigint), (ts, event_id)) as sample, max(ts) as sampled_at from events group by 1, 2""")
+def gauge_samples(t):
+    rows = t.events.select((F.col("user_id") % 4).alias("shard"), F.col("event_type").alias("sampler"), event_k().cast("long").alias("k"), "ts", "event_id")
+    newest = rows.groupBy("shard", "sampler").agg(F.max_by("k", F.struct("ts", "event_id")).alias("sample"), F.max("ts").alias("sampled_at"))
+    return sinks.written(newest)
+
+
+@query("""
+select event_id, user_id, event_type, ts from events where event_type <> 'click' or ts >= timestamp '2024-01-10'""")
+def decision_purge(t):
+    old = (F.col("event_type") == "click") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp"))
+    return t.events.where(~old).select("event_id", "user_id", "event_type", "ts")
+
+
 def _graph_sql() -> dict[str, str]:
     from millrace.plans import catalog
 

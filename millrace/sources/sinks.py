@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ def archive(events: DataFrame, ts: str, path: str, run: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path)
 
 
+def append_together(parts: dict[str, DataFrame], path: str, batch: str) -> None:
+    """Rows of several kinds, such as ledger rows and the events they stem from, appended by one job: none without the other.
+
+    Each kind is a folder under its batch, and a batch that is tried again replaces its own. Kinds lack the columns that
+    only others have (null); columns of one name must have one type.
+    """
+    kinds = [df.withColumns({"batch": F.lit(batch), "kind": F.lit(kind)}) for kind, df in parts.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "kind").parquet(path)
+
+
 def chrome_trace(spans: DataFrame, name: str, track: str, start_us: str, end_us: str) -> DataFrame:
     """(value): one JSON trace event for each span, to be written as text."""
     event = F.struct(F.col(name).cast("string").alias("name"), F.lit("X").alias("ph"), F.col(start_us).alias("ts"), (F.col(end_us) - F.col(start_us)).alias("dur"), F.lit(1).alias("pid"), F.col(track).alias("tid"))

@@ -165,3 +165,19 @@ def test_sinks(spark, tmp_path):
         sinks.archive(spark.createDataFrame([(1, at(0)), (2, at(90000))], "id int, ts timestamp"), "ts", str(tmp_path / "a"), run)
     assert spark.read.parquet(str(tmp_path / "a")).count() == 4
     assert sorted(p.name for p in (tmp_path / "a").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
+
+
+def test_gains_follow_the_next_longest_path(spark):
+    tasks = spark.createDataFrame([("g", "a", 2), ("g", "b", 8), ("g", "c", 5), ("g", "d", 1), ("h", "x", 3)], "dag string, task string, duration long")
+    edges = spark.createDataFrame([("g", "b", "a"), ("g", "c", "a"), ("g", "d", "b"), ("g", "d", "c")], "dag string, task string, upstream string")
+    got = {(r.dag, r.task): (r.makespan, r.gain) for r in G.gains(tasks, edges, F.lit(0).cast("long")).collect()}
+    assert got == {("g", "a"): (11, 2), ("g", "b"): (11, 3), ("g", "c"): (11, 0), ("g", "d"): (11, 1), ("h", "x"): (3, 3)}
+    assert G.gains(tasks.limit(0), edges.limit(0), F.lit(0)).count() == 0
+
+
+def test_rows_and_events_are_appended_together(spark, tmp_path):
+    ledger, events = spark.createDataFrame([(1, 5)], "run long, cost long"), spark.createDataFrame([(1, "spent")], "run long, what string")
+    for batch in ("b0", "b1", "b1"):
+        sinks.append_together({"ledger": ledger, "event": events}, f"{tmp_path}/log", batch)
+    got = spark.read.parquet(f"{tmp_path}/log").select("batch", "kind", "run", "cost", "what").collect()
+    assert sorted((tuple(r) for r in got), key=str) == [(b, *x) for b in ("b0", "b1") for x in (("event", 1, None, "spent"), ("ledger", 1, 5, None))]
