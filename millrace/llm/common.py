@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
+from millrace.operators.arrow import map_arrow  # noqa: F401  the operators take it from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that the cluster names in spark.checkpoint.dir.
@@ -37,23 +36,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package at hand in the Python workers: Spark itself hands it out."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
