@@ -22,9 +22,11 @@ def seconds(c: Column) -> Column:
 def sweep(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """(keys, t, running): how many intervals are open after each edge; an end comes before a start at the same time.
 
-    Edges of the same time and kind are summed first, so that a busy moment is one row.
+    Edges of the same time and kind are summed first, so that a busy moment is one row. Intervals are read once, and stay
+    where they are if they are dealt out by ``keys``, or some of them, already.
     """
-    edges = intervals.select(*keys, F.col(start).alias("t"), F.lit(1).alias("delta")).union(intervals.select(*keys, F.col(end), F.lit(-1)))
+    edge = lambda c, delta: F.struct(F.col(c).alias("t"), F.lit(delta).alias("delta"))
+    edges = intervals.select(*keys, F.inline(F.array(edge(start, 1), edge(end, -1))))
     edges = edges.groupBy(*keys, "t", "delta").agg(F.sum("delta").alias("step"))
     w = Window.partitionBy(*keys).orderBy("t", "delta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return edges.withColumn("running", F.sum("step").over(w)).select(*keys, "t", "delta", "running")

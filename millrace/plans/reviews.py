@@ -39,10 +39,15 @@ def graph_exports(t):
 
 @query()
 def schedule_profile(t):
-    plan = sinks.written(G.slack(*tree_tasks(t)))
-    early = W.peak(plan, ["dag"], "early_start", "early_finish").select("dag", F.col("peak").alias("early_peak"), F.col("at").alias("early_at"))
-    late = W.peak(plan, ["dag"], "late_start", "late_finish").select("dag", F.col("peak").alias("late_peak"), F.col("at").alias("late_at"))
-    return early.join(late, "dag")
+    # One shuffle by graph serves both schedules: their sums, running sums and peaks stay within a graph.
+    # As many parts as are set, not fewer by their size: each interval becomes two times twice.
+    plan = G.slack(*tree_tasks(t))
+    plan = plan.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dag")
+    times = lambda late, start, end: F.struct(F.lit(late).alias("late"), F.col(start).alias("start"), F.col(end).alias("end"))
+    both = plan.select("dag", F.inline(F.array(times(False, "early_start", "early_finish"), times(True, "late_start", "late_finish"))))
+    of = lambda late, c: F.max(F.when(F.col("late") == late, F.col(c)))
+    columns = [of(late, c).alias(f"{name}_{c}") for late, name in ((False, "early"), (True, "late")) for c in ("peak", "at")]
+    return W.peak(both, ["dag", "late"], "start", "end").groupBy("dag").agg(*columns)
 
 
 @query("""
