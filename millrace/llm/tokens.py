@@ -11,6 +11,7 @@ Payloads are rows of a Parquet folder, so that Spark commits, retries and reads
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -32,7 +33,9 @@ SHARE = 0.9
 CHUNK_IDS = 1 << 16
 #: Different words that the library encodes in one call, and words of texts put together at a time.
 WORDS, STRETCH = 500, 500_000
-#: Words that a worker keeps with their ids, beside those of a batch and as many older ones, and how long they may be.
+#: Bytes of texts, a text at least, whose words are told apart at a time.
+STRETCH_BYTES = 8 << 20
+#: Words that a worker keeps with their ids, and how many characters they may have.
 MEMO, MEMO_CHARS = 400_000, 64
 #: Writing tasks up to which the number of ids before each is broadcast; beyond that it joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -140,11 +143,21 @@ def cuts_at_spaces(spec: dict) -> bool:
     return chain == (WORD_NORMALIZERS, [first, then]) and plain and not (spec.get("truncation") or spec.get("padding"))
 
 
+def _gather(ids: np.ndarray, first: np.ndarray, counts: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some words, one word after the other, and where each word's ids end."""
+    sizes = counts[these]
+    ends = np.cumsum(sizes)
+    at = np.repeat(first[these] - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return ids[at], ends
+
+
 class Encoder:
     """Ids of whole texts by the library's own chain.
 
-    Where the file's chain cuts at ASCII white space, each different word of a batch is encoded once, many in one call,
-    and the texts' ids are put together from their words'; words of earlier batches are kept with their ids. With any other file every text is encoded whole.
+    Where the file's chain cuts at ASCII white space, each different word of a stretch of texts is encoded once, many in
+    one call, and the texts' ids are put together from their words'; words of earlier stretches are kept with their ids,
+    in flat arrays, since an object for each would take ten times the memory. With any other file every text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -154,34 +167,38 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_word = cuts_at_spaces(json.load(f))
-        # What was lately used, and before that: the older half goes when the younger is full.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # The words kept, those lately used first, their ids one after the other, and how many each has.
+        self.kept, self.ids, self.counts = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int32)
 
-    def _new(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word by the library, many words in one call."""
+    def _new(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of the words by the library and how many each has, many words in one call."""
         for x in range(0, len(words), WORDS):
-            part = words[x : x + WORDS]
+            part = words.slice(x, WORDS).to_pylist()
             ends = np.cumsum([len(w) + 1 for w in part])
             found = self.whole.encode(" ".join(part), add_special_tokens=False)
             of = np.searchsorted(ends, np.array([s for s, _ in found.offsets], dtype=np.int64), side="right")
-            stops = np.searchsorted(of, np.arange(len(part)), side="right").tolist()
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            yield from (ids[4 * s : 4 * e] for s, e in zip([0, *stops], stops))
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each has."""
-        found = list(map(self.young.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for i in missing:
-            found[i] = self.old.get(words[i])
-        new = [i for i in missing if found[i] is None]
-        for i, ids in zip(new, self._new([words[i] for i in new])):
-            found[i] = ids
-        self.young.update({words[i]: found[i] for i in missing if len(words[i]) <= MEMO_CHARS})
-        if len(self.young) >= MEMO:
-            self.young, self.old = {}, self.young
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            yield np.array(found.ids, dtype="<u4"), np.bincount(of, minlength=len(part)).astype(np.int32)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each word start and how many they are; what is kept follows the words' use."""
+        known = pc.index_in(words, value_set=self.kept)
+        missing = known.is_null()
+        new = words.filter(missing)
+        found = list(self._new(new))
+        ids = np.concatenate([self.ids, *(i for i, _ in found)])
+        counts = np.concatenate([self.counts, *(n for _, n in found)])
+        first = np.cumsum(counts, dtype=np.int64) - counts
+        n_kept, missing = len(self.kept), missing.to_numpy(zero_copy_only=False)
+        at = known.fill_null(0).to_numpy().astype(np.int64)
+        at[missing] = n_kept + np.arange(len(new))
+        if len(new):
+            older = np.ones(n_kept, dtype=bool)
+            older[at[~missing]] = False
+            short = pc.less_equal(pc.utf8_length(words), MEMO_CHARS).to_numpy(zero_copy_only=False)
+            keep = np.concatenate([at[short], np.flatnonzero(older)])[:MEMO]
+            self.kept = pa.concat_arrays([self.kept, new]).take(pa.array(keep))
+            self.ids, self.counts = _gather(ids, first, counts, keep)[0], counts[keep]
+        return ids, first[at], counts[at]
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) for stretches of the texts in order; each text's ids end with ``end_id``."""
@@ -191,11 +208,18 @@ class Encoder:
                 ids = self.whole.encode(t.as_py(), add_special_tokens=False).ids
                 yield np.array([*ids, end_id], dtype="<u4"), np.array([len(ids) + 1])
             return
+        ends, start = np.cumsum([0, *pc.binary_length(texts).to_pylist()]), 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STRETCH_BYTES, side="right")) - 1)
+            yield from self._stretch(texts.slice(start, stop - start), end_id)
+            start = stop
+
+    def _stretch(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        ids, counts = self._words(coded.dictionary.to_pylist()) if len(coded) else (np.empty(0, "<u4"), np.empty(0, np.int64))
-        ids, counts = np.append(ids, np.uint32(end_id)), np.append(counts, 1)  # the end counts as one more word
-        first = np.cumsum(counts) - counts
+        ids, first, counts = self._words(coded.dictionary)
+        # The end counts as one more word.
+        ids, first, counts = np.append(ids, np.uint32(end_id)), np.append(first, len(ids)), np.append(counts, np.int32(1))
         used, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         row = 0
@@ -203,14 +227,19 @@ class Encoder:
             stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + STRETCH, side="right")) - 1)
             cuts = bounds[row : stop + 1] - bounds[row]
             words = np.insert(used[bounds[row] : bounds[stop]], cuts[1:], len(counts) - 1)
-            sizes = counts[words]
-            ends = np.cumsum(sizes)
-            at = np.repeat(first[words] - (ends - sizes), sizes) + np.arange(ends[-1])
+            found, ends = _gather(ids, first, counts, words)
             of_texts = ends[cuts[1:] + np.arange(stop - row)]
-            yield ids[at], np.diff(of_texts, prepend=0)
+            yield found, np.diff(of_texts, prepend=0)
             row = stop
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system; an idle worker lives on for a while beside later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        trim(0)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -229,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     """
     kind = docs.schema[id_col].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         start, chunk, ids, lengths, parts, held, id_type = 0, 0, [], [], [], 0, None
 
@@ -256,6 +285,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
         if ids:
             yield flush()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(batches)
+        give_back()
+
     schema = f"shard long, chunk long, start long, n_ids long, ids array<{kind.simpleString()}>, lengths array<long>, payload binary"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
@@ -267,7 +300,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     stored = spark.read.parquet(path)
     kind = stored.schema["ids"].dataType.elementType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards, starts, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4)
             for i in range(batch.num_rows):
@@ -280,6 +313,10 @@ def read_tokens(spark, path: str) -> DataFrame:
                     names=["shard", "id", "local", "n_tokens", "ids"],
                 )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from unpacked(batches)
+        give_back()
+
     docs = map_arrow(stored.select("shard", "start", "ids", "lengths", "payload"), run, f"shard long, id {kind}, local long, n_tokens long, ids binary")
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # One row for each shard, that is, for each task that wrote.

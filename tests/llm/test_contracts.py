@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -479,6 +480,36 @@ def test_encoder_equals_the_library(data, monkeypatch, name, by_word):
     assert not list(ours.encode(pa.array([], pa.string()), 1))
 
 
+@pytest.mark.parametrize("memo", [0, 1, 40, 10**6])
+def test_words_of_earlier_stretches_keep_their_ids(data, monkeypatch, memo):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "STRETCH_BYTES", 700)
+    monkeypatch.setattr(tokens, "MEMO", memo)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, ours = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = [t for _, t in hostile()] + ODD_TEXTS + pd.read_parquet(f"{data}/documents.parquet").text.tolist()[:60]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for part, expected in ((pa.array(texts), want), (pa.array(texts[::-1]), want[::-1]), (pa.array(["", *texts]).slice(1), want)):
+        ids, sizes = map(np.concatenate, zip(*ours.encode(part, 1)))
+        assert [x.tolist() for x in np.split(ids, sizes.cumsum())] == [*expected, []]
+        assert len(ours.kept) == len(ours.counts) <= memo and len(ours.ids) == ours.counts.sum()
+
+
+def test_kept_words_take_little_memory():
+    """A word kept with its ids took 149 bytes as objects of Python; workers keep them while other stages run."""
+    ours, words = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), 60_000
+    texts = pa.array([" ".join(f"{i * 1_000_003 % 999_983:x}" for i in range(x, x + 100)) for x in range(0, words, 100)])
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for _ in ours.encode(texts, 1):
+            pass
+        assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow < 60 * words
+    finally:
+        tracemalloc.stop()
+
+
 def test_only_the_known_chain_is_cut_at_spaces():
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         spec = json.load(f)
